@@ -5,18 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import mixing, near_dedup, secret_scan
+from panelweave.llm import decontaminate, mixing, near_dedup, quality, secret_scan, toxicity
+from panelweave.llm.common import held_out
+
+#: Scores from here on predict label 1.
+LEAST_SCORE = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = held_out("doc_id", 4, 2)
+    model = toxicity.fit_toxicity(docs, labels, ~held)
+    found = toxicity.score_toxicity(docs, model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), spans.alias("spans"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = held_out("doc_id", 5, 0)
+    model = quality.fit_quality(docs, labels, ~held)
+    found = quality.score_quality(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"), "difference")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
@@ -27,7 +52,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_secret_scan, op9_near_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op5_secret_scan, op8_decontamination, op9_near_dedup, op10_mixture)}
 
 
 ORACLE = {
@@ -50,9 +75,8 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """.replace(" COLLATE C", ""),
-    "op5_secret_scan": None,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLE.items() if sql}
+    return dict(ORACLE)
