@@ -180,6 +180,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
     within = second.select(F.col("u").alias("centre"), F.col("v").alias("node"), F.col("shared").alias("inside"))
     rest = durable(open_rows(rest.filter("node <> centre"), comps).join(within, ["centre", "node"], "left"), "open")
 
+    # a pair that meets in several buckets counts in the first of them only (a node has m * m keys at most)
+    rest = rest.join(rest.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     # all pairs over two components whose sizes, own shingles and overlap with the centre allow a link
     x, y = rest.alias("x"), rest.alias("y")
     common = F.expr("""
@@ -187,6 +189,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
               if(x.inside is null or y.inside is null, null,
                  least(x.inside, y.inside) + least(x.n - x.own - x.inside, y.n - y.own - y.inside)))""")
     able = F.expr("x.key = y.key and x.component < y.component") & (100 * common >= percent * (F.col("x.n") + F.col("y.n") - common))
+    able = able & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))")
     pairs = x.join(y, able).select("x.node", "x.n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
     pairs = durable(pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(F.col("node") < F.col("other"), F.col("n")).otherwise(F.col("m")).alias("nu"), F.when(F.col("node") < F.col("other"), F.col("m")).otherwise(F.col("n")).alias("nv")).distinct(), "pairs")
     third = durable(_verify(pairs, sets), "verified").filter(linked).select("u", "v")
@@ -196,3 +199,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
     out = out.withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id"))).join(comps, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each doc_id, of several the one whose columns come first in order; rows with a null id stay."""
+    known = docs.filter(F.col(id_col).isNotNull())
+    repeated = known.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").select(id_col)
+    again = known.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return docs.join(repeated, id_col, "left_anti").unionByName(again.select(*docs.columns))
