@@ -107,3 +107,20 @@ def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_i
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(partial(_scored, model=shared), SCORES)
+
+
+def _accepted(batches, model, least: float, text_at: int):
+    both, m = None, model.value
+    for batch in batches:
+        both = both or m.compressors()
+        x = np.array([difference(t.as_py() or "", both, m.piece) for t in batch.column(text_at)]).reshape(-1, 2)
+        yield batch.filter(pa.array(logistic(_terms(x) @ np.array(m.coefficients[:-1]) + m.coefficients[-1]) >= least))
+
+
+def filter_quality(docs: DataFrame, model, least: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs whose score is ``least`` or more, unchanged; model is a broadcast one.
+
+    Rows are scored and kept in one pass, so rows that share or lack a doc_id
+    are judged each on its own text, as in score_quality().
+    """
+    return docs.mapInArrow(partial(_accepted, model=model, least=least, text_at=docs.columns.index(text_col)), docs.schema)
