@@ -28,16 +28,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return found.toPandas().drop_duplicates("doc_id").sort_values(["order", "doc_id"]).reset_index(drop=True)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Coefficients, intercept last, of a logistic regression by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))]) if len(x) else np.zeros((0, 2))
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.05, rounds: int = 100) -> np.ndarray:
+    """Coefficients, intercept last, of a logistic regression by Newton steps, halved while they don't help."""
+    x = np.column_stack([x, np.ones(len(x))])
     w, beta = np.ones(len(y)) if weight is None else weight, np.zeros(x.shape[1])
-    for _ in range(rounds if len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + ridge * (b @ b) / 2)
+
+    now = loss(beta)
+    for _ in range(rounds):
+        p = logistic(x @ beta)
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (w * (y - p)) - ridge * beta)
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        while (after := loss(beta + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta + step
+        if now - after < 1e-10 * (1 + abs(now)):
             break
+        now = after
     return beta
 
 
