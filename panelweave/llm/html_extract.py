@@ -11,12 +11,14 @@ them, and lines inside an article stay even if a copy of it is the neighbour.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import partial
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelweave.plans.storage import durable
 
@@ -34,6 +36,9 @@ MARKS = frozenset(
     "share sharing sidebar side social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search signup login disqus".split()
 )
 KEEP, DROP, OPEN = 1, -1, 0
+KEY = ["host", "path", "page_id", "tie"]
+#: Runs have more pages before there are more runs than this, so that their end keys stay small.
+MOST_RUNS = 50_000
 
 
 class _Lines(HTMLParser):
@@ -126,28 +131,50 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def _block(key, pages: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Main texts of one run of ranked pages; the neighbours at both ends come along unasked."""
-    pages = pages.sort_values("rank")
-    ranks, hosts, paths = pages["rank"].tolist(), pages.host.tolist(), pages.path.tolist()
-    lines = [text_lines(h) for h in pages.html]
+def _order(row) -> tuple:
+    """Sort key of a page as Spark orders it, NULL first."""
+    return tuple((row[c] is not None, row[c]) if row[c] is not None else (False,) for c in KEY)
+
+
+def _deal(batches, edges):
+    """Each page with its run; the pages at a run's ends once more, for the runs beside it."""
+    firsts, lasts = edges.value
+    for batch in batches:
+        keys = [_order(r) for r in batch.select(KEY).to_pylist()]
+        take, run, own = [], [], []
+        for k, key in enumerate(keys):
+            home = max(0, bisect_right(firsts, key) - 1)
+            for to in (home, *([home - 1] if home and key == firsts[home] else []), *([home + 1] if key in lasts and home + 1 < len(firsts) else [])):
+                take.append(k)
+                run.append(to)
+                own.append(to == home)
+        out = batch.take(pa.array(take, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(own, pa.bool_()), pa.array(run, pa.int64())], names=[*out.schema.names, "own", "run"])
+
+
+def _block(pages: pd.DataFrame) -> pd.DataFrame:
+    """Main texts of one run of pages in order; the neighbours at both ends come along unasked."""
+    records = sorted(pages.astype(object).where(pages.notna(), None).to_dict("records"), key=_order)
+    hosts, paths = [r["host"] for r in records], [r["path"] for r in records]
+    lines = [text_lines(r["html"]) for r in records]
     out = []
 
     def agree(i: int, j: int) -> int:
-        if not (0 <= j < len(ranks)) or hosts[i] is None or hosts[i] != hosts[j]:
+        if not (0 <= j < len(records)) or hosts[i] is None or hosts[i] != hosts[j]:
             return -1
         x, y = paths[i] or "", paths[j] or ""
         return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
-    for i, rank in enumerate(ranks):
-        if rank // size != key[0]:
+    for i, record in enumerate(records):
+        if not record["own"]:
             continue
         before, after = agree(i, i - 1), agree(i, i + 1)
         other = lines[i - 1] if before >= 0 and before >= after else lines[i + 1] if after >= 0 else []
         gone = shared_lines([t for t, _ in lines[i]], [t for t, _ in other])
         kept = [t for k, (t, role) in enumerate(lines[i]) if role == KEEP or (role == OPEN and k not in gone)]
-        out.append((pages.row.iloc[i], " ".join(kept), len(gone)))
-    return pd.DataFrame(out, columns=["row", "text", "n_shared"])
+        text = " ".join(kept)
+        out.append((record["page_id"], record["url"], text, len(text), len(gone)))
+    return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared"]).astype({"page_id": "Int64"})
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -160,27 +187,33 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 64) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) per row of pages.
 
-    Pages get a rank by host, path and id from a range partitioning, and are
-    read in runs of ``block`` ranks with one more page at either end: no task
-    holds a host. Null or empty html gives an empty text; a null or hostless
+    Pages are ordered by host, path and id, and are read in runs of ``block``
+    pages (more where there would be over MOST_RUNS runs) with one more page at
+    either end: no task holds a host. Only the keys at the ends of runs reach
+    the driver; html moves once. Null or empty html gives an empty text; a null or hostless
     url has no neighbour, so only markup decides; repeated rows each get their
     row; ids may be null; html of any length is read whole; other columns are
     ignored; an empty table gives no rows.
     """
+    spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
-    # the order is written once, so that ranks cannot change between its uses
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
     tie = F.xxhash64("html", "url")
-    dealt = rows.select("*", tie.alias("tie")).repartitionByRange("host", "path", "page_id", "tie").sortWithinPartitions("host", "path", "page_id", "tie")
-    dealt = durable(dealt.select("page_id", "url", "html", "host", "path", F.monotonically_increasing_id().alias("row")), "pages")
+    rows = rows.withColumn("tie", tie)
+    # keys are ordered without the html, and the order is written, so that ranks cannot change between their uses
+    keys = rows.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    keys = durable(keys.select(*KEY, F.monotonically_increasing_id().alias("row")), "pages")
     part = F.shiftright("row", 33)
-    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # one row a partition
-    offsets = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    ranked = dealt.join(F.broadcast(offsets), part == F.col("part")).withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
-    run = F.floor(F.col("rank") / block)
-    at = F.col("rank") % block
-    runs = F.when(at == 0, F.array(run, run - 1)).when(at == block - 1, F.array(run, run + 1)).otherwise(F.array(run))
-    dealt_runs = ranked.select("rank", "row", "host", "path", "html", F.explode(runs).alias("run"))
-    texts = dealt_runs.groupBy("run").applyInPandas(lambda key, pdf: _block(key, pdf, block), "row long, text string, n_shared long")
-    return dealt.select("page_id", "url", "row").join(texts, "row").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    counts = keys.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
+    before, total = {}, 0
+    for r in counts:
+        before[r["part"]], total = total, total + r["n"]
+    size = max(block, -(-total // MOST_RUNS))
+    offsets = spark.createDataFrame(sorted(before.items()), "part long, before long")
+    ranked = keys.join(F.broadcast(offsets), part == F.col("part")).withColumn("rank", F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
+    edges = ranked.filter((F.col("rank") % size).isin(0, size - 1)).select((F.col("rank") % size == 0).alias("first"), "rank", *KEY).collect()  # 2 * MOST_RUNS at most
+    edges.sort(key=lambda r: r["rank"])
+    firsts, lasts = [_order(r) for r in edges if r["first"]], {_order(r) for r in edges if size == 1 or not r["first"]}
+    shared = spark.sparkContext.broadcast((firsts, lasts))
+    dealt = rows.select("page_id", "url", "host", "path", "tie", "html").mapInArrow(partial(_deal, edges=shared), "page_id long, url string, host string, path string, tie long, html string, own boolean, run long")
+    return dealt.groupBy("run").applyInPandas(_block, "page_id long, url string, text string, n_chars long, n_shared long")
