@@ -458,9 +458,9 @@ def upper_medians(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(stats.upper_median("p_size").alias("upper_median"))
 
 
-@query("SELECT * FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_brand), 'green') OR contains(lower(p_type), 'green')")
+@query("SELECT * FROM part WHERE contains(lower(p_name), 'red w') OR contains(lower(p_brand), 'red w') OR contains(lower(p_type), 'red w')")
 def catalogue_search(spark, d):
-    return dashboards.search(table(spark, d, "part"), " GREEN ", ["p_name", "p_brand", "p_type"])
+    return dashboards.search(table(spark, d, "part"), " RED W", ["p_name", "p_brand", "p_type"])
 
 
 @query(f"WITH {REC}, k AS (SELECT n_name AS entity FROM nation WHERE n_regionkey <> 0) SELECT source, count(*) AS rows, count(k.entity) AS mapped_rows, round(count(k.entity) / count(*), 6) AS mapped_rate, round(count(amount) / count(*), 6) AS metric_known_rate, min(period) AS first, max(period) AS last FROM rec LEFT JOIN k USING (entity) GROUP BY source")

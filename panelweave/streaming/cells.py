@@ -10,6 +10,6 @@ from panelweave.operators.panel import money
 
 def windowed_cells(stream: DataFrame, window: str = "30 days", late: str = "7 days", time: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
     """Count, known values and sum per key and window; rows later than ``late`` are dropped by the watermark."""
-    cells = stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), F.col(key).alias("source"))
+    cells = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), F.col(key).alias("source"))
     out = cells.agg(F.count("*").alias("record_count"), F.count(value).alias("known_count"), money(value).alias("total"))
     return out.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "record_count", "known_count", "total")
