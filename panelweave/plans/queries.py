@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions import clean as C
-from panelweave.operators import breaks, dashboards, graph, matching, panel, review, stats
+from panelweave.functions import evidence as E
+from panelweave.operators import batch_review, breaks, dashboards, graph, matching, panel, review, stats
 
 SOURCES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 NAMES = ("s1", "s2", "s3", "s4", "s5")
@@ -489,3 +490,30 @@ def display_numbers(spark, d):
 @query(f"WITH {_MEMBERS} SELECT st AS match_status, count(*) AS n FROM mem GROUP BY st")
 def status_histogram(spark, d):
     return members(spark, d).groupBy("match_status").agg(F.count("*").alias("n"))
+
+
+def _catalogues(spark, d):
+    """Part records under names of catalogues, so that rules about sources apply."""
+    names = ("aiddata", "chapo", "cla", "codf", "cofi")
+    source = F.element_at(F.array(*map(F.lit, names)), (F.col("source").cast("int") % 5) + 1)
+    p = part_records(spark, d).withColumn("source", source)
+    return p.withColumns({"record_key": F.concat_ws(":", "source", "record_id"), "refs": F.array().cast("array<string>"), "entity": F.concat_ws(":", "entity", "fund", "sector")})
+
+
+@query()
+def batch_reviewed(spark, d):
+    recs, cand = matching.apply_matching(_catalogues(spark, d))
+    queue = review.review_queue(cand, recs).withColumn("ordinal", F.xxhash64("candidate_id"))
+    none = spark.createDataFrame([], "candidate_id string, left_key string, right_key string, review_decision string")
+    return batch_review.batch_review(queue, recs, none, complete=True)
+
+
+_SAID = "CASE p_partkey % 6 WHEN 0 THEN 'Loan of USD ' || p_size || ',500 thousand, Phase II' WHEN 1 THEN 'eur 2.5 million first phase' WHEN 2 THEN '$3bn line' WHEN 3 THEN p_size || ' MW dam, 2nd lot' WHEN 4 THEN 'line of 33kV and 12 km' ELSE 'no figure' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_SAID} AS t FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'phase:2' WHEN 1 THEN 'phase:1' WHEN 3 THEN 'lot:2' ELSE '' END AS components,
+  CASE p_partkey % 6 WHEN 0 THEN CAST(CAST(regexp_extract(t, 'USD ([0-9]+)', 1) || '500' AS DOUBLE) * 1000 AS DOUBLE) WHEN 1 THEN 2500000.0 WHEN 2 THEN 3000000000.0 END AS stated, len(regexp_extract_all(lower(t), '[0-9]+ ?(mw|kv|km)')) AS n_specs FROM t""")
+def title_evidence(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.expr(_SAID).alias("t"))
+    return t.select("p_partkey", F.array_join(E.components(F.col("t")), " ").alias("components"), F.get(E.money_in(F.col("t")), F.lit(0))["value"].alias("stated"), F.size(E.specs(F.col("t"))).cast("long").alias("n_specs"))
