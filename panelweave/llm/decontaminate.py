@@ -76,8 +76,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
     per_doc = durable(places.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("places")), "places")
 
     # only documents with a place are read again; windows of equal words count once from here on
-    # the array is named by a filter that Spark keeps between the two projections
-    again = hashed.join(_small(per_doc), "doc_id").filter(F.size("wh") > 0)
+    # texts are joined first and hashed after, so that the other texts are hashed once in all
+    again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(_small(per_doc), "doc_id").select("doc_id", "places", word_hashes(F.col("text")).alias("wh"))
     windows = again.select("doc_id", "wh", F.explode("places").alias("p")).select("doc_id", F.col("p.word").alias("word"), F.slice("wh", F.col("p.word") + 1, F.col("p.n")).alias("w"))
     windows = durable(windows.withColumn("key", F.xxhash64("w")), "windows")
     distinct = windows.groupBy("key").agg(F.min("w").alias("w"))
