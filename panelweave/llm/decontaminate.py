@@ -2,14 +2,16 @@
 
 A window can only be like an item if it has one of its shingles; such a
 shingle also says where an item-sized window would have to start. Windows at
-those places get 64-bit SimHash fingerprints. Two fingerprints within the
-radius agree in one of radius + 1 blocks, so a join on blocks finds all of
-them; the exact weighted-shingle similarity decides.
+those places get 64-bit SimHash fingerprints. Of two fingerprints within the
+radius, one of radius // 3 + 1 blocks differs in two bits at most, so a join of
+blocks with the blocks around each item's finds all of them; the exact
+weighted-shingle similarity decides.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ from panelweave.llm.nativewords import shingles, word_hashes
 from panelweave.plans.storage import durable
 
 WIDTH = 5
-RADIUS = 12
+#: Of windows at the least similarity, 0.8, one in a thousand is farther from its item (measured, README).
+RADIUS = 20
+#: Bits in which a block may differ.
+SLACK = 2
 #: Rows up to which a counted table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -28,20 +33,39 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def block_keys(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 keys of nearly equal numbers of bits: within the radius one at least is equal."""
-    n = radius + 1
-    bounds = [64 * k // n for k in range(n + 1)]
-    parts = (F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(bounds, bounds[1:]))
-    return F.array(*(F.lit(k).cast("long") * (1 << 40) + p for k, p in enumerate(parts)))
+def _bounds(radius: int, slack: int) -> list[tuple[int, int]]:
+    """First and last bit (exclusive) of the blocks: if all differed in more than ``slack`` bits, the radius would be passed."""
+    n = max(2, radius // (slack + 1) + 1)
+    return [(64 * k // n, 64 * (k + 1) // n) for k in range(n)]
 
 
-def simhash(rows: DataFrame, key: str) -> DataFrame:
-    """(key, fingerprint) from rows (key, shingle, count, weight): the sign of the weighted sum of each hash bit."""
+def _parts(fingerprint: Column, radius: int, slack: int) -> list[tuple[int, Column]]:
+    """(width, key) of each block."""
+    cut = lambda a, b: F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+    return [(b - a, F.lit(k).cast("long") * (1 << 40) + cut(a, b)) for k, (a, b) in enumerate(_bounds(radius, slack))]
+
+
+def block_keys(fingerprint: Column, radius: int, slack: int = SLACK) -> Column:
+    """One key a block."""
+    return F.array(*(key for _, key in _parts(fingerprint, radius, slack)))
+
+
+def probe_keys(fingerprint: Column, radius: int, slack: int = SLACK) -> Column:
+    """The keys of all blocks within ``slack`` bits: one at least is a block key of each fingerprint within the radius."""
+
+    def around(width: int, key: Column) -> Column:
+        masks = [sum(1 << bit for bit in bits) for k in range(slack + 1) for bits in combinations(range(width), k)]
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: key.bitwiseXOR(m))
+
+    return F.concat(*(around(*part) for part in _parts(fingerprint, radius, slack)))
+
+
+def simhash(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, fingerprint) from rows (keys, shingle, count, weight): the sign of the weighted sum of each hash bit."""
     mass = F.col("count") * F.col("weight")
     sums = [F.sum(F.when(F.getbit("shingle", F.lit(b)) == 1, mass).otherwise(-mass)).alias(f"b{b}") for b in range(64)]
     bits = [F.shiftleft((F.col(f"b{b}") > 0).cast("long"), b) for b in range(64)]
-    return rows.groupBy(key).agg(*sums).select(key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
+    return rows.groupBy(*keys).agg(*sums).select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -49,18 +73,19 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
 
     Words are lower-cased runs of letters and digits, shingles have five words
     (an item with fewer counts whole, at its own width); word is the index of
-    the window's first word. Similarity is the weighted Jaccard of shingle
+    the window's first word. An item is compared with windows of its own number
+    of words (a shorter text: all of it). Similarity is the weighted Jaccard of shingle
     counts; a shingle weighs 1 + ln((1 + items) / (1 + items that have it)).
 
     Null, empty or wordless texts and items match nothing, nor do rows with a
     null id. Rows that share a doc_id count as one document, repeated items as
-    one. Texts of any length are read whole, other columns are ignored, and an
+    one; of different texts under one item_id, each is looked for. Texts of any length are read whole, other columns are ignored, and an
     empty table on either side gives no rows. No candidate is capped.
     """
-    parts = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("wh")).filter("item_id is not null and size(wh) > 0").distinct()
+    parts = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("wh")).filter("item_id is not null and size(wh) > 0").distinct().withColumn("item", F.xxhash64("item_id", "wh"))
     parts = parts.withColumn("n", F.size("wh")).withColumn("width", F.least("n", F.lit(WIDTH)))
     sized = F.coalesce(*(F.when(F.col("width") == w, shingles("wh", w)) for w in range(WIDTH, 0, -1)))
-    index = durable(parts.select("item_id", "n", "width", F.posexplode(sized).alias("at", "shingle")), "items")
+    index = durable(parts.select("item", "item_id", "n", "width", F.posexplode(sized).alias("at", "shingle")), "items")
     widths = [r["width"] for r in index.select("width").distinct().collect()]  # five values at most
     if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, word int").withColumn("item_id", F.col("item_id").cast(index.schema["item_id"].dataType))
@@ -78,25 +103,26 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
     # only documents with a place are read again; windows of equal words count once from here on
     # texts are joined first and hashed after, so that the other texts are hashed once in all
     again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(_small(per_doc), "doc_id").select("doc_id", "places", word_hashes(F.col("text")).alias("wh"))
-    windows = again.select("doc_id", "wh", F.explode("places").alias("p")).select("doc_id", F.col("p.word").alias("word"), F.slice("wh", F.col("p.word") + 1, F.col("p.n")).alias("w"))
-    windows = durable(windows.withColumn("key", F.xxhash64("w")), "windows")
-    distinct = windows.groupBy("key").agg(F.min("w").alias("w"))
+    windows = again.select("doc_id", "wh", F.explode("places").alias("p")).select("doc_id", F.col("p.word").alias("word"), F.col("p.n").alias("n"), F.slice("wh", F.col("p.word") + 1, F.col("p.n")).alias("w"))
+    windows = durable(windows.withColumn("key", F.xxhash64("n", "w")), "windows")
+    distinct = windows.groupBy("key").agg(F.min("w").alias("w"), F.min("n").alias("n"))
     width = F.least(F.size("w"), F.lit(WIDTH))
     sized = F.coalesce(*(F.when(width == w, shingles("w", w)) for w in range(WIDTH, 0, -1)))
-    counted = distinct.select("key", F.explode(sized).alias("shingle")).groupBy("key", "shingle").agg(F.count("*").alias("count"))
-    counted = durable(counted.join(_small(weights), "shingle", "left").select("key", "shingle", "count", F.coalesce("weight", rare).alias("weight")), "window-shingles")
-    own = durable(index.groupBy("item_id", "shingle").agg(F.count("*").alias("count")).join(weights, "shingle"), "item-shingles")
+    counted = distinct.select("key", "n", F.explode(sized).alias("shingle")).groupBy("key", "n", "shingle").agg(F.count("*").alias("count"))
+    counted = durable(counted.join(_small(weights), "shingle", "left").select("key", "n", "shingle", "count", F.coalesce("weight", rare).alias("weight")), "window-shingles")
+    own = durable(index.groupBy("item", "n", "shingle").agg(F.count("*").alias("count")).join(weights, "shingle"), "item-shingles")
 
-    left = simhash(counted, "key").withColumn("block", F.explode(block_keys(F.col("fingerprint"), radius)))
-    right = simhash(own, "item_id").select("item_id", F.col("fingerprint").alias("other"), F.explode(block_keys(F.col("fingerprint"), radius)).alias("block"))
-    near = left.join(_small(right), "block").filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= radius).select("key", "item_id").distinct()
+    left = simhash(counted, "key", "n").withColumn("block", F.explode(block_keys(F.col("fingerprint"), radius)))
+    right = simhash(own, "item", "n").select("item", "n", F.col("fingerprint").alias("other"), F.explode(probe_keys(F.col("fingerprint"), radius)).alias("block"))
+    near = left.join(_small(right), ["n", "block"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= radius).select("key", "item").distinct()
 
     mass = lambda of, by, name: of.groupBy(by).agg(F.sum(F.col("count") * F.col("weight")).alias(name))
-    theirs = own.select("item_id", "shingle", F.col("count").alias("has"))
-    shared = near.join(counted, "key").join(_small(theirs), ["item_id", "shingle"]).groupBy("key", "item_id").agg(F.sum(F.least("count", "has") * F.col("weight")).alias("both"))
-    scored = shared.join(mass(counted, "key", "x"), "key").join(_small(mass(own, "item_id", "y")), "item_id")
-    scored = scored.select("key", "item_id", (F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9)
-    found = windows.select("doc_id", "word", "key").join(scored, "key")
+    theirs = own.select("item", "shingle", F.col("count").alias("has"))
+    shared = near.join(counted, "key").join(_small(theirs), ["item", "shingle"]).groupBy("key", "item").agg(F.sum(F.least("count", "has") * F.col("weight")).alias("both"))
+    scored = shared.join(mass(counted, "key", "x"), "key").join(_small(mass(own, "item", "y")), "item")
+    scored = scored.select("key", "item", (F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9)
+    named = index.select("item", "item_id").distinct()
+    found = windows.select("doc_id", "word", "key").join(scored.join(_small(named), "item"), "key")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("word")).alias("from"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.from")).alias("word"))
 

@@ -285,9 +285,9 @@ def test_contaminated(spark):
     text = dict(items[:12])
     noise = " ".join(word() for _ in range(3000))
     edge = text[3].split()
-    docs = [(1, f"start {text[1].upper().replace(' ', ', ')}! end"), (2, noise), (3, noise + " " + " ".join(["zzz", *edge[1:]])), (4, None), (5, ""), (6, " ".join(text[4].split()[:8])), (7, "the tiny item is"), (None, text[2]), (8, text[1] + " " + text[2]), (8, text[1]), (9, text[6] + " " + text[6])]
+    docs = [(1, f"start {text[1].upper().replace(' ', ', ')}! end"), (2, noise), (3, noise + " " + " ".join(["zzz", *edge[1:]])), (4, None), (5, ""), (6, " ".join(text[4].split()[:8])), (7, "the tiny item is"), (None, text[2]), (8, text[1] + " " + text[2]), (8, text[1]), (9, text[6] + " " + text[6]), (10, text[5]), (11, "a dup q q q b")]
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == {(1, 1), (3, 3), (7, 92), (8, 1), (8, 2), (9, 6)}
+    assert set(got) == {(1, 1), (3, 3), (7, 92), (8, 1), (8, 2), (9, 6), (10, 5), (11, 5)}
     assert got[1, 1] == pytest.approx(1.0) and 0.8 <= got[3, 3] < 1
     kept = decontaminate.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 4, 5, 6, None]
@@ -303,20 +303,53 @@ def test_contaminated_documents(spark, sf_dir):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == held
 
 
-def test_block_keys_guarantee_the_radius(spark):
+@pytest.mark.parametrize("radius, slack", [(20, 2), (12, 0), (0, 0), (7, 1)])
+def test_block_keys_guarantee_the_radius(spark, radius, slack):
     rng = random.Random(9)
     rows = []
     for _ in range(300):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), rng.randint(0, 12)):
+        for bit in rng.sample(range(64), rng.randint(0, radius)):
             b ^= 1 << bit
         rows.append(tuple(x - 2**64 if x >= 2**63 else x for x in (a, b)))
     df = spark.createDataFrame(rows, "a long, b long")
-    meets = df.select(F.arrays_overlap(decontaminate.block_keys(F.col("a"), 12), decontaminate.block_keys(F.col("b"), 12)).alias("m"))
+    meets = df.select(F.arrays_overlap(decontaminate.block_keys(F.col("a"), radius, slack), decontaminate.probe_keys(F.col("b"), radius, slack)).alias("m"))
     assert all(r["m"] for r in meets.collect())
 
 
+def test_edited_passages(spark):
+    """Against brute force over every window of an item's size: passages with one or two words replaced."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = {k: [word() for _ in range(rng.randint(40, 80))] for k in range(15)}
+    docs = {}
+    for k, words in items.items():
+        for j in range(20):
+            edited = list(words)
+            for _ in range(rng.choice((1, 1, 2))):
+                edited[rng.randrange(len(edited))] = word()
+            docs[100 * k + j] = [word() for _ in range(rng.randrange(40))] + edited + [word() for _ in range(rng.randrange(40))]
+
+    def counts(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    has = Counter(s for words in items.values() for s in counts(words))
+    weigh = lambda c: sum(n * (1 + math.log((1 + len(items)) / (1 + has[s]))) for s, n in c.items())
+    want = set()
+    for k, words in items.items():
+        own = counts(words)
+        for d, text in docs.items():
+            if own.keys() & counts(text).keys():
+                for at in range(max(1, len(text) - len(words) + 1)):
+                    window = counts(text[at : at + len(words)])
+                    both = weigh(own & window)
+                    if both and both / (weigh(own) + weigh(window) - both) >= 0.8 - 1e-9:
+                        want.add((d, k))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table(spark, [(d, " ".join(t)) for d, t in docs.items()]), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+
+
 # --- 10: mixture -----------------------------------------------------------
 
 
