@@ -1,4 +1,4 @@
-"""License scans: MinHash bands over overlapping windows retrieve templates, shingle containment verifies. DataFrame functions only."""
+"""License scans: overlapping windows retrieve templates by an exact shingle prefix, shingle containment verifies. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from panelweave.llm.nativewords import shingle_at, shingles, word_hashes
 
 WIDTH = 5
-#: Bands of one minhash each. A window shares at least 2/7 of its shingles with a template that it holds: 40 bands miss one in 700,000.
-BANDS = 40
 #: The openings by which license texts and notices are known.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -30,10 +28,6 @@ TEMPLATES = {
 }
 
 
-def _signature(shingle_array: Column, bands: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_min(F.transform(shingle_array, lambda s: F.xxhash64(s, k))))
-
-
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
     """(license, width, size, own): shingles of each template, the window class it belongs to, its shingle width."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", word_hashes(F.col("text")).alias("wh")).filter(F.size("wh") > 0)
@@ -43,14 +37,16 @@ def template_table(spark, templates: dict[str, str]) -> DataFrame:
     return rows.select("license", "width", size.alias("size"), F.array_distinct(own).alias("own"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, containment, word): licenses in each document, the share of the template's shingles in its best window, and that window's first word.
 
     Templates are a small dictionary of the caller. Each falls in a class of
     window size S, the next power of two from 8; windows of 3 S / 2 words start
     every S / 2, so a whole template lies in one. Shingles have five words, or
     all of a shorter template. Windows without any template shingle cannot
-    verify and are not sketched.
+    verify and are left out. Of a template's n shingles a window has to share
+    need = ceil(containment * n), so it has one of any n - need + 1: these are
+    the keys that retrieve the template, and no window is missed.
 
     Null, empty and wordless texts have no license; a window reaches to the
     text's end, whatever its length; documents with a null id report under
@@ -71,23 +67,27 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         return F.when(F.size("wh") >= width, F.filter(each, lambda s: s["shingle"].isin(known))).otherwise(F.array().cast("array<struct<at:int,shingle:bigint>>"))
 
     def touched(width: int, size: int, known: list[int]) -> Column:
-        """(width, size, start) of the windows that have a template shingle of the class."""
-        step = size // 2
+        """(width, size, start, theirs) of the windows that have a template shingle of the class; theirs are those shingles."""
+        step, last = size // 2, size * 3 // 2 - width
         own = F.filter(f"hits{width}", lambda s: s["shingle"].isin(known))
         windows = F.flatten(F.transform(own, lambda s: F.sequence(F.greatest(F.floor(s["at"] / step).cast("int") - 2, F.lit(0)), F.floor(s["at"] / step).cast("int"))))
-        return F.transform(F.array_distinct(windows), lambda j: F.struct(F.lit(width).alias("width"), F.lit(size).alias("size"), (j * step).alias("start")))
+
+        def window(start: Column) -> Column:
+            inside = F.filter(own, lambda s: (s["at"] >= start) & (s["at"] <= start + last))
+            return F.struct(F.lit(width).alias("width"), F.lit(size).alias("size"), start.alias("start"), F.array_distinct(F.transform(inside, lambda s: s["shingle"])).alias("theirs"))
+
+        return F.transform(F.array_distinct(windows), lambda j: window(j * step))
 
     widths = sorted({c[0] for c in classes})
     # no filter here: it would be pushed below the projections and repeat their work for every word
-    hashed = hashed.select("doc_id", "wh", *(hits(w).alias(f"hits{w}") for w in widths))
-    windows = hashed.select("doc_id", "wh", F.explode(F.concat(*(touched(*c) for c in classes))).alias("win")).select(
-        "doc_id", F.col("win.start").alias("word"), F.col("win.width").alias("width"), F.col("win.size").alias("size"), F.slice("wh", F.col("win.start") + 1, (F.col("win.size") * 3 / 2).cast("int")).alias("w")
-    )
-    sized = F.coalesce(*(F.when(F.col("width") == w, shingles("w", w)) for w in widths))
-    windows = windows.select("doc_id", "word", "width", "size", F.array_distinct(sized).alias("theirs")).filter(F.size("theirs") > 0)
-    # templates are the caller's short dictionary, so their bands are broadcast
-    keyed = F.broadcast(table.select("license", "width", "size", "own", F.posexplode(_signature(F.col("own"), bands)).alias("band", "least")))
-    found = windows.select("*", F.posexplode(_signature(F.col("theirs"), bands)).alias("band", "least")).join(keyed, ["width", "size", "band", "least"])
+    hashed = hashed.select("doc_id", *(hits(w).alias(f"hits{w}") for w in widths))
+    windows = hashed.select("doc_id", F.explode(F.concat(*(touched(*c) for c in classes))).alias("win"))
+    windows = windows.select("doc_id", F.col("win.start").alias("word"), "win.width", "win.size", "win.theirs")
+    # templates are the caller's short dictionary, so their keys are broadcast
+    need = F.ceil(F.lit(containment) * F.size("own") - 1e-9).cast("int")
+    prefix = F.slice("own", F.lit(1), F.size("own") - F.greatest(need, F.lit(1)) + 1)
+    keyed = F.broadcast(table.select("license", "width", "size", "own", F.explode(prefix).alias("key")))
+    found = windows.select("*", F.explode("theirs").alias("key")).join(keyed, ["width", "size", "key"])
     share = F.size(F.array_intersect("own", "theirs")) / F.size("own")
     found = found.select("doc_id", "license", share.alias("containment"), "word").filter(F.col("containment") >= containment - 1e-9)
     best = found.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("from"))).alias("b"))

@@ -275,6 +275,31 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table(spark, rows), {}).collect() == [] and licenses.scan_licenses(table(spark, []).limit(0)).collect() == []
 
 
+def test_short_notices_are_never_missed(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    short = {f"T{k}": " ".join(word() for _ in range(3 + k % 3)) for k in range(60)}
+    rows = [(k, " ".join([notice, *(word() for _ in range(20))])) for k, notice in enumerate([*short.values()] * 25)]
+    got = {(r["doc_id"], r["license"], r["containment"]) for r in licenses.scan_licenses(table(spark, rows), short).collect()}
+    assert got == {(k, f"T{k % 60}", 1.0) for k in range(len(rows))}
+
+
+def test_licenses_at_the_containment_bound(spark):
+    rng = random.Random(9)
+    template = [f"t{k}" for k in range(24)]  # 20 shingles, of which 16 are needed
+    rows, want = [], {}
+    for k in range(400):
+        words, at = list(template), rng.randrange(40)
+        for i in rng.sample(range(24), rng.randint(0, 2)):
+            words[i] = f"x{k}_{i}"
+        share = sum(words[i : i + 5] == template[i : i + 5] for i in range(20)) / 20
+        rows.append((k, " ".join([*(f"a{k}_{i}" for i in range(at)), *words, *(f"b{k}_{i}" for i in range(40))])))
+        if share >= 0.8:
+            want[k] = share
+    got = {r["doc_id"]: r["containment"] for r in licenses.scan_licenses(table(spark, rows), {"T": " ".join(template)}).collect()}
+    assert got == pytest.approx(want) and set(want.values()) >= {0.8, 1.0}
+
+
 # --- 8: benchmark ----------------------------------------------------------
 
 
