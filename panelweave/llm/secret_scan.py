@@ -21,8 +21,19 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Fixed values. Least entropy in bits of a window of 20 characters, by the narrowest class that holds the candidate.
 WINDOW = 20
 LEAST = {"hex": 2.9, "letters": 4.05, "alnum": 3.75, "base64": 3.9}
+
+
+def _ordered(letters: str) -> str:
+    """Pattern of a run through letters in their order, from any on, begun again at the end."""
+    return "(?i:(?:" + "|".join(f"{a}(?={b}|$)" for a, b in zip(letters, letters[1:] + letters[0])) + ")+)"
+
+
+#: A word of camel case: a capital, two small letters or more, a vowel among them.
+HUMP = "(?=[AEIOUY]|[A-Z][a-z]*[aeiouy])[A-Z][a-z]{2,}"
+#: Letters that are well known not to be secret: the alphabet, rows of keys, words in camel case. Others are judged by their entropy.
+PLAIN = "|".join([*map(_ordered, ("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiopasdfghjklzxcvbnm")), f"(?:(?=[a-z]*[aeiouy])[a-z]{{2,}}|{HUMP})(?:{HUMP})+"])
 #: Candidates that are well known not to be secrets.
-ALLOWED = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]+|[A-Za-z]+|[a-z]+(?:[-_/][a-z]+)+|[A-Za-z0-9]*EXAMPLE[A-Za-z0-9]*|[-=_+/]+)$"
+ALLOWED = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]+|" + PLAIN + r"|[a-z]+(?:[-_/][a-z]+)+|[A-Za-z0-9]*EXAMPLE[A-Za-z0-9]*|[-=_+/]+)$"
 
 
 def _places(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0, bare: bool = False) -> Column:
@@ -107,7 +118,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     access (AKIA keys of 20+ characters), hex (24+ digits). entropy: other
     candidate strings of 20+ characters of the base64 alphabet of which some
     window of 20 is as random as its character class allows, unless the
-    allow-list has them or a base span covers them. A null or empty text has no
+    allow-list has them or a base span covers them. Of candidates of letters only,
+    the allow-list has runs through the alphabet or the keyboard and words in
+    camel case. A null or empty text has no
     spans; a candidate is whole, however long. Other columns pass through;
     repeated rows are scanned alike; an empty table gives no rows.
     """

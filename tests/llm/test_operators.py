@@ -221,6 +221,25 @@ def test_secret_spans(spark):
     assert secret_scan.scan_secrets(table(spark, []).limit(0)).collect() == []
 
 
+def test_letters_only_secrets(spark):
+    rng = random.Random(5)
+
+    def bits(w):
+        return max(-sum(n / 20 * math.log2(n / 20) for n in Counter(w[k : k + 20]).values()) for k in range(len(w) - 19))
+
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)) for _ in range(200)]
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    plain = [
+        "internationalization", "counterrevolutionaries", "Rechtsschutzversicherungsgesellschaften", "pneumonoultramicroscopicsilicovolcanoconiosis", "electroencephalographically", "ABCDEFGHIJKLMNOPQRSTUVWX", alphabet, alphabet.upper() + alphabet, alphabet[::-1], "qwertyuiopasdfghjklzxcvbnm",
+        "AbstractSingletonProxyFactoryBean", "getUserProfileByMockedClientWithQueryJson", "unhappyFrogsJumpQuicklyBehindVexedWaltzers", "COUNTERREVOLUTIONARIES",
+    ]
+    rows = [(k, f"see {w} here") for k, w in enumerate(keys + plain)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.span_digest(secret_scan.scan_secrets(table(spark, rows))).collect()}
+    assert [k for k in range(200) if got[k]] == [k for k in range(200) if bits(keys[k]) >= 4.05 - 1e-12]
+    assert sum(got[k] == "entropy:4:44" for k in range(200)) >= 140
+    assert [w for k, w in enumerate(plain, 200) if got[k]] == []
+
+
 def test_window_entropy(spark):
     rng = random.Random(8)
     strings = ["".join(rng.choice("abc123XYZ+/=") for _ in range(n)) for n in (20, 21, 45, 90)] + ["a" * 25, "short"]
