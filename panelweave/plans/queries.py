@@ -116,6 +116,16 @@ def panel_fund_columns(spark, d):
     return panel.fund_columns(records(spark, d), ["entity"], _PAIRS, _PAIR_NAMES)
 
 
+#: Every pair of source and fund; panel_fund_columns has four of them.
+_ALL_PAIRS = [(s, f) for s in SOURCES for f in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
+_ALL_PAIR_NAMES = [f"{NAMES[SOURCES.index(s)]}_{f.lower()}_usd" for s, f in _ALL_PAIRS]
+
+
+@query(f"WITH {REC} SELECT entity, " + ", ".join(f"CAST(sum(CAST(CASE WHEN source = '{s}' AND fund = '{f}' THEN amount END AS DECIMAL(18, 2))) AS DOUBLE) AS {n}" for (s, f), n in zip(_ALL_PAIRS, _ALL_PAIR_NAMES)) + " FROM rec GROUP BY entity")
+def panel_fund_columns_all(spark, d):
+    return panel.fund_columns(records(spark, d), ["entity"], _ALL_PAIRS, _ALL_PAIR_NAMES)
+
+
 @query(f"SELECT event_type, CAST(year(ts) AS INTEGER) AS year, {MONEY.format('value')} AS value, count(*) AS row_count FROM events GROUP BY ALL")
 def macro_from_parts(spark, d):
     parts = table(spark, d, "events").select("event_type", F.year("ts").alias("year"), "value")
@@ -170,6 +180,15 @@ def source_quality(spark, d):
     return stats.source_quality(records(spark, d), spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("6-NONE",)], "source string"))
 
 
+#: Every source and one without records; source_quality has two of them.
+_ALL_SOURCES = [*SOURCES, "6-NONE"]
+
+
+@query(SQL["source_quality"].replace("['1-URGENT', '2-HIGH', '6-NONE']", str(_ALL_SOURCES)))
+def source_quality_all(spark, d):
+    return stats.source_quality(records(spark, d), spark.createDataFrame([(s,) for s in _ALL_SOURCES], "source string"))
+
+
 @query("""WITH p AS (SELECT *, log10(value) AS lg FROM events WHERE value > 0), c AS (SELECT event_type, count(*) AS group_count, median(lg) AS centre, median(value) AS group_median FROM p GROUP BY event_type),
   m AS (SELECT event_type, median(abs(lg - centre)) AS mad FROM p JOIN c USING (event_type) GROUP BY event_type),
   j AS (SELECT e.event_id, e.event_type, e.value, coalesce(group_count, 0) AS group_count, group_median, CASE WHEN value > 0 AND group_count >= 10 AND mad > 0 THEN round(0.6745 * (log10(value) - centre) / mad, 4) END AS robust_z FROM events e LEFT JOIN c USING (event_type) LEFT JOIN m USING (event_type)),
@@ -388,6 +407,32 @@ def completed_reviews(spark, d):
     return review.complete(queue, chains(spark, d).select(F.col("u").alias("left_key"), F.col("v").alias("right_key")))
 
 
+def whole_graph(spark, d):
+    """Edges of every row: one chain of all parts, and part and supplier of each line, where suppliers are hubs."""
+    key = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 9, "0"))
+    chain = table(spark, d, "part").select(key(F.col("p_partkey")).alias("u"), key(F.col("p_partkey") + 1).alias("v"))
+    return chain.unionByName(table(spark, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey")).alias("u"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("v")))
+
+
+@query()
+def components_all(spark, d):
+    return graph.connected_components(whole_graph(spark, d))
+
+
+def named_parts(spark, d):
+    """(queue, edges) of every part: it is compared with the next but one and with the first of its name; parts of one name and brand are linked by a hub."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name", "p_brand")
+    first = p.groupBy("p_name").agg(F.min("k").alias("least"))
+    queue = p.select(F.col("k").alias("a"), (F.col("k") + 2).alias("b")).unionByName(p.join(first, "p_name").filter("least < k").select(F.col("least").alias("a"), F.col("k").alias("b"))).distinct()
+    key = lambda c: F.concat(F.lit("k"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    return queue.select(key("a").alias("left_key"), key("b").alias("right_key")), p.select(key("k").alias("left_key"), F.concat_ws("|", F.lit("hub"), "p_name", "p_brand").alias("right_key"))
+
+
+@query()
+def completed_reviews_all(spark, d):
+    return review.complete(*named_parts(spark, d))
+
+
 def members(spark, d):
     status = F.when(F.col("c_custkey") % 11 == 0, "human_confirmed").when(F.col("c_custkey") % 5 == 0, "direct_reference").otherwise("unmatched")
     c = table(spark, d, "customer")

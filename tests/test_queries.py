@@ -42,3 +42,46 @@ def test_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def roots(edges):
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in up}
+
+
+def test_components_of_every_row(spark, sf_dir, duck):
+    parts, lines = duck.execute("select p_partkey from part").fetchall(), duck.execute("select l_partkey, l_suppkey from lineitem").fetchall()
+    want = roots([(f"k{k:09}", f"k{k + 1:09}") for (k,) in parts] + [(f"P{p}", f"S{s}") for p, s in lines])
+    got = {r["node"]: r["component"] for r in QUERIES["components_all"](spark, sf_dir).collect()}
+    assert got == want
+    # the chain of all parts is one component
+    assert sum(c == got[f"k{parts[0][0]:09}"] for c in got.values()) == len(parts) + 1
+
+
+def test_reviews_of_every_part(spark, sf_dir, duck):
+    parts = duck.execute("select p_partkey, p_name, p_brand from part").fetchall()
+    root = roots([(f"k{k:09}", f"hub|{n}|{b}") for k, n, b in parts])
+    first = {}
+    for k, n, _ in sorted(parts):
+        first.setdefault(n, k)
+    pairs = {(f"k{a:09}", f"k{b:09}") for k, n, _ in parts for a, b in ((k, k + 2), (first[n], k)) if a < b}
+    want = {(a, b, "same_project" if root.get(a, a) == root.get(b, b) else "different_project") for a, b in pairs}
+    got = QUERIES["completed_reviews_all"](spark, sf_dir).collect()
+    assert {(r["left_key"], r["right_key"], r["review_decision"]) for r in got} == want and len(got) == len(want) and len({x[2] for x in want}) == 2
+
+
+def test_all_sources_and_pairs(spark, sf_dir, duck):
+    real = {x for (x,) in duck.execute("select distinct o_orderpriority from orders").fetchall()}
+    assert {r["source"] for r in QUERIES["source_quality_all"](spark, sf_dir).collect()} == real | {"6-NONE"}
+    assert len(QUERIES["panel_fund_columns_all"](spark, sf_dir).columns) == 1 + len(real) * duck.execute("select count(distinct c_mktsegment) from customer").fetchone()[0]
