@@ -41,8 +41,8 @@ def _pieces(text: str, size: int) -> list[bytes]:
     return [raw[k : k + size] for k in range(0, len(raw), size)]
 
 
-def difference(text: str, compressors: list, piece: int) -> tuple[float, float]:
-    """(bad - good) and (bad + good) / 2 of the compressed sizes of a whole text, over its size; zeros for an empty one.
+def difference(text: str, compressors: list, piece: int) -> float:
+    """Compressed size of a whole text by the bad dictionary less that by the good one, over its size; 0 for an empty one.
 
     A piece starts from the dictionary alone, so a long text weighs its words
     like a short one and does not become its own dictionary.
@@ -50,13 +50,13 @@ def difference(text: str, compressors: list, piece: int) -> tuple[float, float]:
     pieces = _pieces(text, piece)
     good, bad = (sum(len(c.compress(p)) for p in pieces) for c in compressors)
     size = sum(map(len, pieces)) + 16  # short texts: what a frame costs shall not look like a difference
-    return ((bad - good) / size, (bad + good) / 2 / size) if pieces else (0.0, 0.0)
+    return (bad - good) / size if pieces else 0.0
 
 
-def _terms(x: np.ndarray) -> np.ndarray:
-    """What the calibration reads: the difference, and how near the text is to repeating itself."""
-    d, r = x[:, 0], x[:, 1]
-    return np.column_stack([100 * d, 10 * np.minimum(r, 0.2), 10 * np.maximum(r - 0.2, 0)])
+def _scores(texts, compressors: list, m: CompressionModel) -> tuple[np.ndarray, np.ndarray]:
+    """(difference, score) of texts; null is empty."""
+    x = np.array([difference(t.as_py() or "", compressors, m.piece) for t in texts], float)
+    return x, logistic(100 * x * m.coefficients[0] + m.coefficients[1])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, most_chars: int = 50_000, dictionary: int = 1 << 16, piece: int = 2048, level: int = 3) -> CompressionModel:
@@ -78,12 +78,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: in
             books.append(zstandard.train_dictionary(dictionary, pieces).as_bytes())
         except (zstandard.ZstdError, ValueError):  # too few samples to train on: their tail is the dictionary
             books.append(b"".join(pieces)[-dictionary:] or b" " * 8)
-    model = CompressionModel(books[0], books[1], piece, level, (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
+    model = CompressionModel(books[0], books[1], piece, level, (0.0, float(np.log(share / (1 - share)))))
     cal = sample[held]
     if len(set(cal.label)) < 2:
         return model
     both = model.compressors()
-    x = _terms(np.array([difference(t, both, piece) for t in cal.text]))
+    x = 100 * np.array([[difference(t, both, piece)] for t in cal.text])
     y = cal.label.to_numpy(float)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return CompressionModel(books[0], books[1], piece, level, tuple(fit_logistic(x, y, weight).tolist()))
@@ -93,9 +93,8 @@ def _scored(batches, model):
     both, m = None, model.value
     for batch in batches:
         both = both or m.compressors()
-        x = np.array([difference(t.as_py() or "", both, m.piece) for t in batch.column(1)]).reshape(-1, 2)
-        z = logistic(_terms(x) @ np.array(m.coefficients[:-1]) + m.coefficients[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(z, pa.float64())], names=SCORES.names)
+        x, z = _scores(batch.column(1), both, m)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(z)], names=SCORES.names)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,8 +112,7 @@ def _accepted(batches, model, least: float, text_at: int):
     both, m = None, model.value
     for batch in batches:
         both = both or m.compressors()
-        x = np.array([difference(t.as_py() or "", both, m.piece) for t in batch.column(text_at)]).reshape(-1, 2)
-        yield batch.filter(pa.array(logistic(_terms(x) @ np.array(m.coefficients[:-1]) + m.coefficients[-1]) >= least))
+        yield batch.filter(pa.array(_scores(batch.column(text_at), both, m)[1] >= least))
 
 
 def filter_quality(docs: DataFrame, model, least: float, text_col: str = "text") -> DataFrame:
