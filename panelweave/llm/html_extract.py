@@ -1,20 +1,23 @@
-"""Main text of pages by differencing each with the page of the nearest URL.
-
-Pages of a host are ranked by URL path; a page's text lines are aligned with
-those of the neighbour whose path agrees longest, by a longest common
-subsequence, and shared lines are the host's template: they go. Markup roles
-bound what differencing may decide. Lines in menus, headers, footers,
-sidebars, notices, adverts, forms and comments go even if no other page has
-them, and lines inside an article stay even if a copy of it is the neighbour.
+"""Main text of pages by differencing each with the pages of the nearest URLs.
+
+Pages of a host are ordered by URL path; a page's text lines are aligned with
+those of the nearest page on either side that has other content, by a longest
+common subsequence, and shared lines outside its article are the host's
+template: they go. Markup decides about what differencing leaves: menus,
+headers, footers, sidebars, notices, adverts, forms and comments go even if no
+other page has them. Lines inside an article stay, whatever other pages have.
+
+Only hashes of lines are ordered and compared; a page's html moves at most once,
+to meet what was decided about it.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from functools import partial
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,32 +26,48 @@ from pyspark.sql import functions as F
 from panelweave.plans.storage import durable
 
 #: Names of elements.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
+SILENT = frozenset("script style noscript template head title iframe canvas audio video select textarea button datalist".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT = frozenset("article main".split())
+CONTAINERS = frozenset("div section ul ol dl table header figure center details".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style".split())
 #: Words of class, id and role attributes that mark what is not the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond reply replies cookie cookies consent disclaimer "
     "footer header masthead menu menubar nav navbar navigation newsletter notice notices notification alert pager pagination popup modal promo promotion promoted related recommended "
-    "share sharing sidebar side social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search signup login disqus".split()
+    "share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search signup login disqus".split()
 )
-KEEP, DROP, OPEN = 1, -1, 0
-KEY = ["host", "path", "page_id", "tie"]
-#: Runs have more pages before there are more runs than this, so that their end keys stay small.
-MOST_RUNS = 50_000
+#: Words that may stand beside a mark in a name that is a mark as a whole.
+BESIDE = frozenset("area bar block body box buttons container content group inner item items left links list outer page posts reader readers right section site stories top bottom main user users wrap wrapper".split())
+KEEP, DROP, OPEN, UNSURE = 1, -1, 0, 2
+#: Share of a page's characters from which on another page counts as a copy of it.
+COPY = 0.8
+
+
+def marked(value: str) -> bool:
+    """Whether one of the names of an attribute is made of marks alone, or of marks and words that go with them."""
+    for name in value.lower().split():
+        parts = set(re.split(r"[^a-z]+", name)) - {""}
+        if parts & MARKS and parts <= MARKS | BESIDE:
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
-    """(text, role) of the blocks of a page, in order."""
+    """(text, role) of the blocks of a page, in order.
+
+    An article inside an element that only its name marks is UNSURE: it counts
+    if the page has no other.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
         self.words: list[str] = []
         self.stack: list[tuple[str, int, bool]] = []  # element, role, silent
+        self.unsure = 0  # number of the UNSURE article that is open, or of the last one
+        self.numbers: list[int] = []
 
     def _state(self) -> tuple[int, bool]:
         return self.stack[-1][1:] if self.stack else (OPEN, False)
@@ -58,6 +77,7 @@ class _Lines(HTMLParser):
         self.words = []
         if text:
             self.lines.append((text, self._state()[0]))
+            self.numbers.append(self.unsure)
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -68,11 +88,19 @@ class _Lines(HTMLParser):
         if tag == "p" and self.stack and self.stack[-1][0] == "p":
             self.stack.pop()
             role, silent = self._state()
-        marks = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower())}
-        if tag in BOILERPLATE or (tag == "header" and role != KEEP) or (tag not in CONTENT and tag not in ("body", "html") and marks & MARKS):
+        named = any(v and marked(v) for k, v in attrs if k in ("class", "id", "role"))
+        inside = role in (KEEP, UNSURE)
+        structural = any(name in BOILERPLATE for name, _, _ in self.stack)
+        if tag in BOILERPLATE or (tag == "header" and not inside):
+            role = DROP
+        elif tag in CONTENT:
+            if role == DROP or named:
+                role = UNSURE if not structural else DROP
+                self.unsure += role == UNSURE
+            elif role == OPEN:
+                role = KEEP
+        elif named and (tag in CONTAINERS if inside else tag not in ("body", "html")):
             role = DROP
-        elif tag in CONTENT and role != DROP:
-            role = KEEP
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
         if role != self._state()[0]:
             self._cut()
@@ -95,19 +123,24 @@ class _Lines(HTMLParser):
         if not self._state()[1]:
             self.words.append(data)
 
+    def finished(self) -> list[tuple[str, int]]:
+        self._cut()
+        sure = any(role == KEEP for _, role in self.lines)
+        first = min((n for (_, role), n in zip(self.lines, self.numbers) if role == UNSURE), default=0)
+        return [(t, role if role != UNSURE else KEEP if not sure and n == first else DROP) for (t, role), n in zip(self.lines, self.numbers)]
+
 
 def text_lines(html: str | None) -> list[tuple[str, int]]:
     """Lines of a page with their roles; markup that ends in the middle is read as far as it goes."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
-    parser._cut()
-    return parser.lines
+    return parser.finished()
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in a of a longest common subsequence with b (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []  # least end in b of a common subsequence of each length
@@ -131,89 +164,106 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def _order(row) -> tuple:
-    """Sort key of a page as Spark orders it, NULL first."""
-    return tuple((row[c] is not None, row[c]) if row[c] is not None else (False,) for c in KEY)
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Host in lower case and path, by pattern: no URL is invalid."""
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.when(host != "", host), path
 
 
-def _deal(batches, edges):
-    """Each page with its run; the pages at a run's ends once more, for the runs beside it."""
-    firsts, lasts = edges.value
+def _hashed(batches):
+    """Per page the hashes of its lines and their lengths."""
     for batch in batches:
-        keys = [_order(r) for r in batch.select(KEY).to_pylist()]
-        take, run, own = [], [], []
-        for k, key in enumerate(keys):
-            home = max(0, bisect_right(firsts, key) - 1)
-            for to in (home, *([home - 1] if home and key == firsts[home] else []), *([home + 1] if key in lasts and home + 1 < len(firsts) else [])):
-                take.append(k)
-                run.append(to)
-                own.append(to == home)
-        out = batch.take(pa.array(take, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(own, pa.bool_()), pa.array(run, pa.int64())], names=[*out.schema.names, "own", "run"])
-
-
-def _block(pages: pd.DataFrame) -> pd.DataFrame:
-    """Main texts of one run of pages in order; the neighbours at both ends come along unasked."""
-    records = sorted(pages.astype(object).where(pages.notna(), None).to_dict("records"), key=_order)
-    hosts, paths = [r["host"] for r in records], [r["path"] for r in records]
-    lines = [text_lines(r["html"]) for r in records]
+        hashes, chars = [], []
+        for html in batch.column(3):
+            lines = text_lines(html.as_py())
+            hashes.append(pd.util.hash_array(np.array([t for t, _ in lines], object)).view(np.int64) if lines else np.empty(0, np.int64))
+            chars.append([len(t) for t, _ in lines])
+        arrays = [*(batch.column(k) for k in range(3)), pa.array(hashes, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "page", "lines", "chars"])
+
+
+def _differences(run: pd.DataFrame, size: int, reach: int) -> pd.DataFrame:
+    """For each page of one run the places of lines that it shares with its neighbours; pages of other runs are neighbours only."""
+    run = run.sort_values("rank")
+    own = (run["rank"] // size == run["run"]).tolist()
+    hosts, keys = run.host.tolist(), list(zip(run.host, run.path, run.page))
+    lines, chars = [tuple(x) for x in run.lines], run.chars.tolist()
+    known: dict[tuple, set[int] | None] = {}  # by the lines of both
     out = []
 
-    def agree(i: int, j: int) -> int:
-        if not (0 <= j < len(records)) or hosts[i] is None or hosts[i] != hosts[j]:
-            return -1
-        x, y = paths[i] or "", paths[j] or ""
-        return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    def against(i: int, j: int) -> set[int] | None:
+        """Lines of page i that page j shares; None if j is a copy of it."""
+        if lines[i] == lines[j]:
+            return None
+        pair = lines[i], lines[j]
+        if pair not in known:
+            found = shared_lines(*pair)
+            known[pair] = found if sum(int(chars[i][k]) for k in found) < COPY * int(sum(chars[i])) else None
+        return known[pair]
 
-    for i, record in enumerate(records):
-        if not record["own"]:
-            continue
-        before, after = agree(i, i - 1), agree(i, i + 1)
-        other = lines[i - 1] if before >= 0 and before >= after else lines[i + 1] if after >= 0 else []
-        gone = shared_lines([t for t, _ in lines[i]], [t for t, _ in other])
-        kept = [t for k, (t, role) in enumerate(lines[i]) if role == KEEP or (role == OPEN and k not in gone)]
-        text = " ".join(kept)
-        out.append((record["page_id"], record["url"], text, len(text), len(gone)))
-    return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared"]).astype({"page_id": "Int64"})
+    def shared(i: int, step: int) -> set[int]:
+        for j in range(i + step, i + step * (reach + 1), step):
+            if not 0 <= j < len(hosts) or hosts[j] != hosts[i]:
+                break
+            found = against(i, j)
+            if found is not None:
+                return found
+        return set()
 
+    for i in range(len(hosts)):
+        if own[i] and lines[i]:
+            gone = shared(i, -1) | shared(i, 1)
+            if gone:
+                out.append((*keys[i], sorted(gone)))
+    return pd.DataFrame(out, columns=["host", "path", "page", "gone"])
+
+
+def _texts(batches):
+    """Text of each page: lines of the article, and of the others those that neither the neighbours nor the markup take away."""
+    for batch in batches:
+        texts, deleted = [], []
+        for html, gone in zip(batch.column(2), batch.column(3).to_pylist()):
+            lines, gone = text_lines(html.as_py()), set(gone or ())
+            texts.append(" ".join(t for k, (t, role) in enumerate(lines) if role == KEEP or (role == OPEN and k not in gone)))
+            deleted.append(sum(k in gone for k, (_, role) in enumerate(lines) if role != KEEP))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_deleted"])
 
-def url_parts(url: Column) -> tuple[Column, Column]:
-    """Host in lower case and path, by pattern: no URL is invalid."""
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return F.when(host != "", host), path
 
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 1024, reach: int = 32) -> DataFrame:
+    """(page_id, url, text, n_chars, n_deleted) per row of pages; n_deleted counts the lines that differencing took away.
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 64) -> DataFrame:
-    """(page_id, url, text, n_chars, n_shared) per row of pages.
+    Rows of equal host, path and html are compared once. They are ordered by
+    host and path; runs of ``block`` pages, with ``reach`` pages of the runs
+    beside them, are compared in one task, as hashes of lines. So no task holds
+    a host, and runs do not grow with the table. A neighbour that has COPY of a
+    page's characters is passed over for the next; a page with only such copies
+    within ``reach`` on either side is left to its markup.
 
-    Pages are ordered by host, path and id, and are read in runs of ``block``
-    pages (more where there would be over MOST_RUNS runs) with one more page at
-    either end: no task holds a host. Only the keys at the ends of runs reach
-    the driver; html moves once. Null or empty html gives an empty text; a null or hostless
+    Null or empty html gives an empty text; a null or hostless
     url has no neighbour, so only markup decides; repeated rows each get their
     row; ids may be null; html of any length is read whole; other columns are
     ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
-    tie = F.xxhash64("html", "url")
-    rows = rows.withColumn("tie", tie)
-    # keys are ordered without the html, and the order is written, so that ranks cannot change between their uses
-    keys = rows.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY)
-    keys = durable(keys.select(*KEY, F.monotonically_increasing_id().alias("row")), "pages")
+    order = ["host", "path", "page"]
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"), F.xxhash64(F.col(html_col)).alias("page"))
+    hashed = rows.filter("host is not null").select(*order, "html").mapInArrow(_hashed, "host string, path string, page long, lines array<long>, chars array<int>")
+    # the order is written, so that ranks cannot change between their uses
+    ordered = hashed.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = durable(ordered.withColumn("row", F.monotonically_increasing_id()), "page-lines")
     part = F.shiftright("row", 33)
-    counts = keys.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
-    before, total = {}, 0
+    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
+    before, total = [], 0
     for r in counts:
-        before[r["part"]], total = total, total + r["n"]
-    size = max(block, -(-total // MOST_RUNS))
-    offsets = spark.createDataFrame(sorted(before.items()), "part long, before long")
-    ranked = keys.join(F.broadcast(offsets), part == F.col("part")).withColumn("rank", F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
-    edges = ranked.filter((F.col("rank") % size).isin(0, size - 1)).select((F.col("rank") % size == 0).alias("first"), "rank", *KEY).collect()  # 2 * MOST_RUNS at most
-    edges.sort(key=lambda r: r["rank"])
-    firsts, lasts = [_order(r) for r in edges if r["first"]], {_order(r) for r in edges if size == 1 or not r["first"]}
-    shared = spark.sparkContext.broadcast((firsts, lasts))
-    dealt = rows.select("page_id", "url", "host", "path", "tie", "html").mapInArrow(partial(_deal, edges=shared), "page_id long, url string, host string, path string, tie long, html string, own boolean, run long")
-    return dealt.groupBy("run").applyInPandas(_block, "page_id long, url string, text string, n_chars long, n_shared long")
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(before, "part long, before long"))  # one row a partition
+    ranked = ordered.join(offsets, part == F.col("part")).withColumn("rank", F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
+    home = lambda rank: F.floor(rank / block)
+    runs = F.sequence(home(F.greatest(F.col("rank") - reach, F.lit(0))), home(F.col("rank") + reach))
+    dealt = ranked.select(*order, "lines", "chars", "rank", F.explode(runs).alias("run"))
+    gone = dealt.groupBy("run").applyInPandas(partial(_differences, size=block, reach=reach), "host string, path string, page long, gone array<int>")
+    met = rows.join(durable(gone, "page-differences"), order, "left").select("page_id", "url", "html", "gone")
+    return met.mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_deleted long")
