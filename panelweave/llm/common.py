@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """wanted, with underscores at its end until no other column has the name, in whatever case."""
+    known = {c.lower() for c in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(True))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelweave.llm.common import free_name
+from panelweave.plans.storage import durable
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources up to which their table is broadcast; with more it is joined by shuffle.
-BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -25,7 +26,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float], most: float) -> D
     over weight, the stopped sources come first, so running sums find the level
     at which the others' targets end.
     """
-    # counts are combined within tasks first, so one window row stands for a source
+    # counts are combined within tasks first, so one window row stands for a source; the windows over all sources run in one task
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -45,8 +46,13 @@ def unit_hash(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def plan_names(docs: DataFrame) -> list[str]:
+    """What mixture_plan() calls its four columns beside those of docs."""
+    return [free_name(c, docs.columns) for c in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+
+
 def mixture_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs with mix_size, mix_source_size, mix_target and mix_copies.
+    """The rows of docs with mix_size, mix_source_size, mix_target and mix_copies (names that docs has get underscores, plan_names()).
 
     A document's size is its number of words (null or blank text: 0). Sources
     in code-point order, null last, take the weights in turn. A source's rate
@@ -55,18 +61,19 @@ def mixture_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: fl
     input gives the same copies. A source of size 0 has target 0 and no copies;
     rows that repeat an id share their draw; an empty table gives no rows.
     """
-    rows = docs.withColumn("mix_size", word_count(F.col(text_col)))
-    targets = source_targets(rows.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size")), weights, most)
-    targets = targets.select(F.col("source").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    if docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rows = rows.join(targets, rows[source_col].eqNullSafe(F.col("mix_key")), "left").drop("mix_key")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (unit_hash(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")
-    return rows.withColumn("mix_copies", copies.cast("long"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every document repeated mix_copies times, numbered in column copy from 1."""
-    plan = mixture_plan(docs, **options).filter("mix_copies > 0")
-    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    size, source_size, target, copies = plan_names(docs)
+    rows = docs.withColumn(size, word_count(F.col(text_col)))
+    targets = durable(source_targets(rows.select(F.col(source_col).alias("source"), F.col(size).alias("size")), weights, most), "targets")
+    targets = targets.select(F.col("source").alias(free_name("source", rows.columns)), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    # a written table of one row a source: Spark broadcasts it where its files are small
+    key = targets.columns[0]
+    rows = rows.join(targets, rows[source_col].eqNullSafe(targets[key]), "left").drop(targets[key])
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
+    return rows.withColumn(copies, (F.floor(rate) + (unit_hash(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")).cast("long"))
+
+
+def mix(docs: DataFrame, copy_col: str = "copy", **options) -> DataFrame:
+    """docs with every document repeated mix_copies times, numbered from 1 in ``copy_col``, the last column (with underscores where docs has the name)."""
+    names = plan_names(docs)
+    plan = mixture_plan(docs, **options).filter(F.col(names[3]) > 0)
+    return plan.withColumn(free_name(copy_col, plan.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[3])))).drop(*names)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import free_name
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -36,27 +38,62 @@ PLAIN = "|".join([*map(_ordered, ("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponml
 ALLOWED = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]+|" + PLAIN + r"|[a-z]+(?:[-_/][a-z]+)+|[A-Za-z0-9]*EXAMPLE[A-Za-z0-9]*|[-=_+/]+)$"
 
 
-def _places(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0, bare: bool = False) -> Column:
-    """Array of (start, end, kind) of all matches whose match or group has ``least`` characters or more."""
+#: Entries of one chunk of an array: sums and searches go through chunks first, so that no text costs the square of its matches.
+CHUNK = 64
+SPANS = "array<struct<start:int,end:int,kind:string>>"
+
+
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once: a one-element array names it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """An array cut into arrays of CHUNK entries; an empty one is one chunk."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(CHUNK)), lambda at: F.slice(items, at, F.lit(CHUNK)))
+
+
+def _before(totals: Column, i: Column) -> Column:
+    return F.aggregate(F.slice(totals, F.lit(1), i), F.lit(0), lambda acc, t: acc + t)
+
+
+def _walk(steps: Column, kind: str) -> Column:
+    """(start, end, kind) of matches from (gap before, size) of each, as running sums over chunks and within."""
+
+    def within(chunk: Column, begin: Column) -> Column:
+        def span(s: Column, i: Column) -> Column:
+            return _let(begin + _before(F.transform(chunk, lambda x: x["gap"] + x["size"]), i) + s["gap"], lambda at: F.struct(at.alias("start"), (at + s["size"]).alias("end"), F.lit(kind).alias("kind")))
+
+        return F.transform(chunk, span)
+
+    def over(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, s: acc + s["gap"] + s["size"]))
+        return _let(totals, lambda t: F.flatten(F.transform(chunks, lambda chunk, i: _let(_before(t, i), lambda begin: within(chunk, begin)))))
+
+    return _let(_chunks(steps), over)
+
+
+def _matches(text: Column, pattern: str, kind: str) -> tuple[Column, Column]:
+    """(spans, strings) of all matches in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    # lens: the lengths of piece 0, match 0, piece 1, match 1, ...
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda piece, match: F.struct(F.length(piece).alias("gap"), F.length(match).alias("size")))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end"), F.lit(kind).alias("kind")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    # the lengths of piece 0, match 0, piece 1, match 1, ...
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda piece, match: F.struct(F.length(piece).alias("gap"), F.length(match).alias("size")))
+    return _walk(steps, kind), found
+
+
+def _places(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0) -> Column:
+    """Spans of all matches whose match or group has ``least`` characters or more."""
+    walked, found = _matches(text, pattern, kind)
     if least:
-        kept = F.zip_with(walked, sized, lambda span, x: F.struct(span["start"].alias("start"), span["end"].alias("end"), span["kind"].alias("kind"), (F.length(x) >= least).alias("ok")))
-        walked = F.transform(F.filter(kept, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+        sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        walked = F.array_compact(F.zip_with(walked, sized, lambda span, x: F.when(F.length(x) >= least, span)))
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPANS))
+
+
+def _covered(span: Column, chunks: Column) -> Column:
+    """Whether a span lies within one of a kind's spans, which are in order and apart; first starts of chunks lead to the one to search."""
+    at = F.size(F.filter(chunks, lambda c: F.coalesce(F.get(c, F.lit(0))["start"] <= span["start"], F.lit(False))))
+    return F.coalesce(F.exists(F.get(chunks, at - 1), lambda b: (b["start"] <= span["start"]) & (span["end"] <= b["end"])), F.lit(False))
 
 
 def _class(candidate: Column) -> Column:
@@ -121,35 +158,56 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     allow-list has them or a base span covers them. Of candidates of letters only,
     the allow-list has runs through the alphabet or the keyboard and words in
     camel case. A null or empty text has no
-    spans; a candidate is whole, however long. Other columns pass through;
+    spans; a candidate is whole, however long. Other columns pass through; where
+    docs has a column of either name, the new one gets underscores (span_names());
     repeated rows are scanned alike; an empty table gives no rows.
     """
+    base, spans = span_names(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("secret_base", F.concat(_places(text, ASSIGN, "assign", 2, 6), _places(text, ACCESS, "access", None, 20), _places(text, LONG_HEX, "hex")))
-    spot = _places(text, CANDIDATE, "entropy")
-    free = F.filter(spot, lambda s: ~F.exists("secret_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    read = F.transform(free, lambda s: F.struct(s.alias("span"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("string")))
+    kinds = F.array(_places(text, ASSIGN, "assign", 2, 6), _places(text, ACCESS, "access", None, 20), _places(text, LONG_HEX, "hex"))
+    walked, strings = _matches(text, CANDIDATE, "entropy")
+    spot = F.zip_with(walked, strings, lambda span, x: F.struct(span.alias("span"), x.alias("string")))
     least = F.create_map(*(F.lit(x) for pair in LEAST.items() for x in pair))
-    random = F.filter(read, lambda r: ~r["string"].rlike(ALLOWED) & (window_entropy(r["string"]) >= F.element_at(least, _class(r["string"]))))
-    return rows.withColumn("secret_spans", F.concat("secret_base", F.transform(random, lambda r: r["span"])))
+    random = lambda r: ~r["string"].rlike(ALLOWED) & (window_entropy(r["string"]) >= F.element_at(least, _class(r["string"])))
+    free = lambda chunked: F.filter(spot, lambda r: ~F.exists(chunked, lambda chunks: _covered(r["span"], chunks)))
+    rows = docs.withColumn(base, kinds)
+    found = F.transform(F.filter(_let(F.transform(base, _chunks), free), random), lambda r: r["span"])
+    found = F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(SPANS))
+    return rows.withColumns({spans: F.concat(F.flatten(base), found), base: F.flatten(base)})
+
+
+def span_names(docs: DataFrame) -> tuple[str, str]:
+    """What scan_secrets() calls its two columns beside those of docs."""
+    return free_name("secret_base", docs.columns), free_name("secret_spans", docs.columns)
 
 
-def span_digest(docs: DataFrame) -> DataFrame:
-    """scan_secrets() rows with n_assign, n_access, n_hex, base_sha256 and spans."""
-    count = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return docs.select("*", *(count(k) for k in KINDS[:3]), F.sha2(_join(F.col("secret_base")).cast("binary"), 256).alias("base_sha256"), _join(F.col("secret_spans")).alias("spans"))
+def span_digest(scanned: DataFrame, base: str = "secret_base", spans: str = "secret_spans") -> DataFrame:
+    """scan_secrets() rows with n_assign, n_access, n_hex, base_sha256 and spans, in place of columns of these names."""
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    made = {f"n_{k}": count(k) for k in KINDS[:3]} | {"base_sha256": F.sha2(_join(F.col(base)).cast("binary"), 256), "spans": _join(F.col(spans))}
+    return scanned.withColumns(made)
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """scan_secrets() rows with every span of the text replaced by mark; overlapping spans as one."""
+def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", base: str = "secret_base", spans: str = "secret_spans") -> DataFrame:
+    """scan_secrets() rows with every span of the text replaced by mark, overlapping spans as one, without the columns base and spans."""
     text = F.col(text_col)
-    merged = F.aggregate(
-        F.array_sort(F.transform("secret_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return docs.withColumn(text_col, F.when(F.size("secret_spans") > 0, merged).otherwise(text)).drop("secret_base", "secret_spans")
+    reach = lambda chunk: F.array_max(F.transform(chunk, lambda s: s["end"]))
+
+    def pieces(chunk: Column, at: Column) -> Column:
+        """The text between the spans of a chunk, each with a mark; at is where the spans before it end."""
+
+        def piece(s: Column, i: Column, segment: Column) -> Column:
+            done = F.greatest(at, F.coalesce(reach(F.slice(chunk, F.lit(1), i)), at))
+            return F.when(s["start"] < done, "").otherwise(F.concat(F.substring(segment, done - at + 1, s["start"] - done), F.lit(mark)))
+
+        return _let(F.substring(text, at + 1, reach(chunk) - at), lambda segment: F.transform(chunk, lambda s, i: piece(s, i, segment)))
+
+    def whole(chunks: Column) -> Column:
+        def written(ends: Column) -> Column:
+            parts = F.transform(chunks, lambda chunk, i: _let(F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0)), lambda at: pieces(chunk, at)))
+            return F.concat(F.array_join(F.flatten(parts), ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+        return _let(F.transform(chunks, reach), written)
+
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return scanned.withColumn(text_col, F.when(F.size(spans) > 0, _let(_chunks(order), whole)).otherwise(text)).drop(base, spans)

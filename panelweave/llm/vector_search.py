@@ -3,8 +3,9 @@
 Every dimension is cut into 2**bits cells. The scan reads cell numbers only:
 a query's inner product with a vector lies between sums over the corners of
 the vector's cells. Vectors whose upper bound reaches the kth best lower bound
-are candidates; exact vectors are then read in the order of upper bounds until
-the kth score found exceeds every bound left.
+are candidates. Exact vectors are then read in batches, in the order of upper
+bounds; only queries whose kth score may still be beaten by a bound left read
+the next batch, which is larger.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -76,23 +77,11 @@ def _scan(key, queries: pd.DataFrame, cells: pd.DataFrame, bounds, bits, k) -> p
     return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, float if c in ("upper", "lower") else int) for c, v in out.items()})
 
 
-def _refine(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Read exact vectors of one query by falling upper bound until the kth score beats all bounds left."""
-    rows = rows.sort_values(["upper", "vec_id"], ascending=[False, True])
-    q = np.array(rows.q.iloc[0], np.int64)
-    ids, upper = rows.vec_id.to_numpy(), rows.upper.to_numpy()
-    scores, seen = np.empty(0, np.int64), 0
-    while seen < len(rows):
-        if seen >= k and np.partition(scores, -k)[-k] > upper[seen]:
-            break
-        part = np.array(rows.x.iloc[seen : seen + 64].tolist(), np.int64).reshape(-1, len(q))
-        scores = np.concatenate([scores, part @ q])
-        seen = len(scores)
-    order = np.lexsort((ids[:seen], -scores))[:k]
-    return pd.DataFrame({"query_id": rows.query_id.iloc[0], "rank": np.arange(1, len(order) + 1, dtype=np.int32), "vec_id": ids[order], "score": scores[order]})
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, v: acc + v)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 8192, query_block: int = 1024, batch: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, ties to smaller vec_id.
 
     Both tables have the columns of integer_vectors(); a query's own vec_id is
@@ -101,7 +90,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, blo
     result. Rows that repeat an id and vector count once. A query has fewer
     than k rows if there are fewer candidates; empty tables give no rows.
 
-    Queries meet vectors in blocks. bits is 8 at most.
+    Queries meet vectors in blocks. bits is 8 at most. The first batch has
+    ``batch`` candidates of each query, each later one four times as many as
+    that before. A score beyond 64 bits raises an arithmetic error.
     """
     vectors, queries = vectors.distinct(), queries.distinct()
     # ranks within equal vectors are limited before the shuffle, so a common vector does not gather
@@ -110,6 +101,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, blo
     queries = durable(queries, "queries")
     ends = kept.select("dim", F.posexplode("x").alias("at", "v")).groupBy("dim", "at").agg(F.min("v").alias("low"), F.max("v").alias("high")).toPandas().sort_values(["dim", "at"])
     bounds = {int(d): (g.low.to_numpy(), g.high.to_numpy()) for d, g in ends.groupby("dim")}  # two numbers a dimension
+    bounds[0] = (np.empty(0, int), np.empty(0, int))
     cells = durable(kept.mapInArrow(partial(_quantise, bounds=bounds, bits=bits), "vec_id long, dim int, cells binary"), "cells")
 
     def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -122,8 +114,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, blo
     right = right.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nl - 1)))).select("dim", F.col("other").alias("qb"), F.col("part").alias("vb"), "vec_id", "cells")
     scan = lambda key, q, v: _scan(key, q, v, bounds, bits, k)
     found = durable(left.groupBy("dim", "qb", "vb").cogroup(right.groupBy("dim", "qb", "vb")).applyInPandas(scan, "query_id long, vec_id long, upper double, lower double"), "candidates")
+    # row numbers under a limit are cut within tasks first, so a query's candidates never gather in one
     best = Window.partitionBy("query_id").orderBy(F.col("lower").desc(), "vec_id")
     kth = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("kth"))
-    near = found.join(kth, "query_id").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id", "upper")
-    exact = near.join(kept.select("vec_id", "dim", "x"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("dim").alias("qdim"), F.col("x").alias("q")), "query_id").filter("dim = qdim")
-    return exact.groupBy("query_id").applyInPandas(partial(_refine, k=k), "query_id long, rank int, vec_id long, score long")
+    left = durable(found.join(kth, "query_id").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id", "upper"), "bounds")
+    asked = queries.select(F.col("vec_id").alias("query_id"), "dim", F.col("x").alias("q"))
+    in_order = Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "vec_id")
+    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    scored = None
+    while True:
+        now = left.withColumn("nth", F.row_number().over(in_order)).filter(F.col("nth") <= batch)
+        read = now.join(kept.select("vec_id", "dim", "x"), "vec_id").join(asked, ["query_id", "dim"])
+        read = read.select("query_id", "vec_id", _dot(F.col("q"), F.col("x")).alias("score"))
+        # only the k best so far matter; a query's last bound read tells what is left of it
+        ranked = read if scored is None else read.unionByName(scored)
+        scored = durable(ranked.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= k).drop("nth"), "scores")
+        last = now.filter(F.col("nth") == batch).select("query_id", F.col("upper").alias("last"), F.col("vec_id").alias("last_id"))
+        least = scored.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+        unread = (F.col("upper") < F.col("last")) | ((F.col("upper") == F.col("last")) & (F.col("vec_id") > F.col("last_id")))
+        left = left.join(last.join(least, "query_id", "left"), "query_id").filter(unread & (F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))))
+        left = durable(left.select("query_id", "vec_id", "upper"), "bounds")
+        if left.isEmpty():
+            break
+        batch *= 4
+    return scored.select("query_id", F.row_number().over(by_score).alias("rank"), "vec_id", "score")
