@@ -1,8 +1,8 @@
 """Cleaning and labelling of raw cells, as column functions.
 
-Missing stays NULL everywhere; it never becomes zero. Normalisers need NFKD
-and case folding, which Spark lacks, so they are pandas UDFs; the rest stays
-in the JVM.
+Missing stays NULL everywhere; it never becomes zero. Cells beyond ASCII need
+NFKD and case folding, which Spark lacks, so these go through pandas UDFs; all
+other work stays in the JVM.
 """
 
 from __future__ import annotations
@@ -67,26 +67,36 @@ def _fold(value: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def norm_text(cells: pd.Series) -> pd.Series:
-    """Folded text with runs of other than a-z, 0-9 and unified ideographs as one space."""
-    return cells.map(lambda v: re.sub("[^a-z0-9一-鿿]+", " ", _fold(v)).strip())
+def _folded(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda v: None if v is None else _fold(v))
 
 
 @F.pandas_udf(T.StringType())
-def norm_name(cells: pd.Series) -> pd.Series:
-    """As norm_text, without the spaces."""
-    return cells.map(lambda v: re.sub("[^a-z0-9一-鿿]+", "", _fold(v)))
+def _folded_ascii(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda v: None if v is None else _fold(v).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf(T.StringType())
-def normalized_title(cells: pd.Series) -> pd.Series:
-    """Folded text in ASCII: what else there is goes without leaving a space."""
-    return cells.map(lambda v: re.sub("[^a-z0-9]+", " ", _fold(v).encode("ascii", "ignore").decode()).strip())
+def _lowered(cell: Column | str, folded) -> Column:
+    """A cell in lower case with " and " for &; only cells beyond ASCII pass through Python. NULL is empty."""
+    c = F.col(cell) if isinstance(cell, str) else cell
+    plain = F.coalesce(c.rlike(r"^[\x00-\x7F]*$"), F.lit(True))
+    lower = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "&", " and ")
+    return F.when(plain, lower).otherwise(folded(F.when(~plain, c)))
+
 
+def norm_text(cell: Column | str) -> Column:
+    """Folded text with runs of other than a-z, 0-9 and unified ideographs as one space."""
+    return F.trim(F.regexp_replace(_lowered(cell, _folded), "[^a-z0-9一-鿿]+", " "))
 
-def ascii_norm(cell: Column) -> Column:
-    """norm_text for ASCII cells, in the JVM."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(cell, F.lit(""))), "&", " and "), "[^a-z0-9]+", " "))
+
+def norm_name(cell: Column | str) -> Column:
+    """As norm_text, without the spaces."""
+    return F.regexp_replace(_lowered(cell, _folded), "[^a-z0-9一-鿿]+", "")
+
+
+def normalized_title(cell: Column | str) -> Column:
+    """Folded text in ASCII: what else there is goes without leaving a space."""
+    return F.trim(F.regexp_replace(_lowered(cell, _folded_ascii), "[^a-z0-9]+", " "))
 
 
 #: Words of no weight in titles.

@@ -1,8 +1,9 @@
 """Level shifts in the longest consecutive run of each series, relationally.
 
-Prefix sums make the squared error of any segment a difference of two rows, so
-that a self-join enumerates all placements of up to three breaks and a BIC
-picks one.
+Prefix sums make the squared error of any segment a difference of two entries.
+The best split of a prefix into k segments extends the best split of a shorter
+prefix into k - 1, so that n values cost n * n steps a break; a BIC picks the
+number of segments.
 """
 
 from __future__ import annotations
@@ -36,30 +37,32 @@ def mean_breaks(points: DataFrame, key: str = "series", period: str = "period",
     order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     t = run.join(scale, key).withColumn("t", F.asinh(F.col(value) / F.col("scale")))
     sums = t.select(key, "idx", F.sum("t").over(order).alias("s"), F.sum(F.col("t") * F.col("t")).over(order).alias("q"), "n")
-    # a run is short, so a series' prefix sums fit in one array and candidates need no further lookups
-    packed = sums.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "s", "q"))).alias("p"))
+    # the prefix sums of one series are one array; entry j sums its first j values
+    start = F.array(F.struct(F.lit(0).alias("idx"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+    packed = sums.groupBy(key).agg(F.max("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "s", "q"))).alias("p")).withColumn("p", F.concat(start, "p"))
+    p, n = F.col("p"), F.col("n")
 
-    def at(b: Column, f: str) -> Column:
-        return F.when(b == 0, F.lit(0.0)).otherwise(F.get(F.col("p"), (b - 1).cast("int"))[f])
+    def sse(i: Column, j: Column) -> Column:
+        total = F.get(p, j)["s"] - F.get(p, i)["s"]
+        return F.greatest(F.lit(0.0), F.get(p, j)["q"] - F.get(p, i)["q"] - total * total / (j - i))
 
-    def sse(a: Column, b: Column) -> Column:
-        total = at(b, "s") - at(a, "s")
-        return F.greatest(F.lit(0.0), at(b, "q") - at(a, "q") - total * total / (b - a))
+    def split(cost: Column, cuts: Column) -> Column:
+        # equal costs, but for rounding, go to the earliest last break
+        return F.struct(F.round(cost, 12).alias("rounded"), cuts.alias("cuts"), cost.alias("cost"))
 
-    n = F.col("n")
-    spots = lambda least, below: F.when(below >= least, F.sequence(least, below)).otherwise(F.array().cast("array<bigint>"))
-    models = [packed.select(key, "n", F.lit(1).alias("segments"), F.array().cast("array<bigint>").alias("b"), sse(F.lit(0), n).alias("sse"))]
-    grown, names = packed, []
-    for k in range(1, breaks + 1):
-        before = F.col(names[-1]) if names else F.lit(0).cast("long")
-        grown = grown.withColumn(f"b{k}", F.explode(spots(before + segment, n - segment)))
-        names.append(f"b{k}")
-        edges = [F.lit(0).cast("long"), *map(F.col, names), n]
-        total = sum((sse(x, y) for x, y in zip(edges[1:], edges[2:])), sse(edges[0], edges[1]))
-        models.append(grown.select(key, "n", F.lit(k + 1).alias("segments"), F.array(*names).alias("b"), total.alias("sse")))
-    union = models[0]
-    for m in models[1:]:
-        union = union.unionByName(m)
+    def longer(before: str, segments: int) -> Column:
+        """Best split of each prefix into so many segments, its breaks from the last to the first."""
+        ends = F.sequence(F.lit(0), n)
+        of = lambda j: F.array_min(F.transform(F.sequence(F.lit((segments - 1) * segment), j - segment), lambda i: split(F.get(F.col(before), i)["cost"] + sse(i, j), F.concat(F.array(i), F.get(F.col(before), i)["cuts"]))))
+        return F.transform(ends, lambda j: F.when(j >= segments * segment, of(j)))
+
+    no_cuts = F.array().cast("array<int>")
+    grown = packed.withColumn("best1", F.transform(F.sequence(F.lit(0), n), lambda j: F.when(j >= segment, split(sse(F.lit(0), j), no_cuts))))
+    for k in range(2, breaks + 2):
+        grown = grown.withColumn(f"best{k}", longer(f"best{k - 1}", k))
+    ends = F.array(*(F.struct(F.lit(k).alias("segments"), F.get(f"best{k}", n).alias("m")) for k in range(1, breaks + 2)))
+    union = grown.select(key, "n", F.explode(ends).alias("e")).filter("e.m is not null")
+    union = union.select(key, F.col("n").cast("long").alias("n"), "e.segments", F.reverse("e.m.cuts").cast("array<bigint>").alias("b"), F.col("e.m.cost").alias("sse"))
     bic = n * F.log(F.greatest("sse", F.lit(1e-12)) / n) + (2 * F.col("segments") - 1) * F.log(n.cast("double"))
     scored = union.withColumn("bic", bic)
     plain = scored.filter("segments = 1").select(key, F.col("bic").alias("no_break_bic"))

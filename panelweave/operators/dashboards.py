@@ -22,6 +22,46 @@ def search(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     return df.filter(hit)
 
 
+REVIEW_FIELDS = ("candidate_id", "entity", "left_source", "left_record_id", "left_title", "right_source", "right_record_id", "right_title")
+CATALOGUE_FIELDS = ("name", "short_name", "level", "amount_basis", "description")
+
+
+def filter_reviews(queue: DataFrame, status: str = "all", hint: str = "all", text: str = "") -> DataFrame:
+    """Rows of a queue with a review_decision column: all, pending (no decision yet) or one decision, and one hint."""
+    out = search(queue, text, REVIEW_FIELDS)
+    if status != "all":
+        out = out.filter(F.coalesce("review_decision", F.lit("")) == ("" if status == "pending" else status))
+    return out if hint == "all" else out.filter(F.col("review_hint") == hint)
+
+
+def filter_entities(overview: DataFrame, least_sources: int = 0, text: str = "", names: Sequence[str] = ("entity",)) -> DataFrame:
+    """Entities with that many sources at least whose names, joined by spaces, contain text."""
+    joined = F.concat_ws(" ", *names)
+    return search(overview.filter(F.col("source_count") >= least_sources).withColumn("__names", joined), text, ["__names"]).drop("__names")
+
+
+def filter_category(rows: DataFrame, category: str = "all", text: str = "", fields: Sequence[str] = CATALOGUE_FIELDS) -> DataFrame:
+    """Rows of a category ("all": any) whose fields, joined by spaces, contain text."""
+    able = rows if category == "all" else rows.filter(F.col("category") == category)
+    return search(able.withColumn("__fields", F.concat_ws(" ", *fields)), text, ["__fields"]).drop("__fields") if text.strip() else able
+
+
+def catalogue_totals(rows: DataFrame) -> DataFrame:
+    """Records, the most countries of a source, and the years they span; zeros and NULL where nothing is left."""
+    return rows.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.max("countries"), F.lit(0)).alias("most_countries"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def rank_entities(overview: DataFrame, mode: str = "records") -> DataFrame:
+    """overview in the order of a sort mode: records, sources (then records) or name (by Unicode rules); ties by entity."""
+    order = {"records": [F.col("records").desc()], "sources": [F.col("source_count").desc(), F.col("records").desc()], "name": [F.collate("entity", "UNICODE")]}[mode]
+    return overview.orderBy(*order, "entity")
+
+
+def covered_entities(records: DataFrame, first: int, last: int) -> DataFrame:
+    """How many entities have a record between two periods."""
+    return records.filter(F.col("period").between(first, last)).agg(F.countDistinct("entity").alias("covered"))
+
+
 def entity_overview(records: DataFrame) -> DataFrame:
     """Per entity: records, distinct sources with data, and counts keyed by source and by period."""
     by = lambda key: records.groupBy("entity", key).agg(F.count("*").alias("n")).groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "n")))).alias(f"by_{key}"))
@@ -67,7 +107,7 @@ def findings(records: DataFrame) -> DataFrame:
 def source_audit(records: DataFrame, entities: DataFrame) -> DataFrame:
     """Per source: rows, rows of known entities, their share, and the share with an amount."""
     known = entities.select("entity").distinct().withColumn("mapped", F.lit(True))
-    m = records.join(F.broadcast(known), "entity", "left")
+    m = records.join(known, "entity", "left")
     rate = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
     mapped = F.coalesce("mapped", F.lit(False))
     return m.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(mapped).alias("mapped_rows"), rate(mapped).alias("mapped_rate"), rate(F.col("amount").isNotNull()).alias("metric_known_rate"), F.min("period").alias("first"), F.max("period").alias("last"))

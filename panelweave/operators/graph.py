@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and an equi-join, so that a hub's neighbours
-are never gathered in one task, and the number of rounds is logarithmic.
+Every step is a grouped minimum, combined within tasks before the shuffle, and
+an equi-join of edges with one row a node, where adaptive execution splits a
+hub's edges. The number of rounds is logarithmic.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ def skeleton(entities: DataFrame, first: int, last: int, period: str = "period")
 
 def eligible(records: DataFrame, entities: DataFrame, first: int, last: int, entity: str = "entity", period: str = "period") -> DataFrame:
     """Records of panel entities within the panel's periods."""
-    return records.filter(F.col(period).between(first, last)).join(F.broadcast(entities.select(entity).distinct()), entity, "left_semi")
+    return records.filter(F.col(period).between(first, last)).join(entities.select(entity).distinct(), entity, "left_semi")
 
 
 def source_cells(records: DataFrame, keys: Sequence[str] = ("entity", "period", "source")) -> DataFrame:
@@ -56,12 +56,20 @@ def long_fund_panel(records: DataFrame, entities: DataFrame, first: int, last: i
     return source_cells(eligible(records, entities, first, last), ("entity", "period", "source", "fund"))
 
 
-def fund_columns(records: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], names: Sequence[str]) -> DataFrame:
-    """A total per source and fund type as columns, in sorted order of the pairs given."""
+def fund_columns(records: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """A total per source and fund type as columns, in the order of pairs; without pairs, a column {source}_{fund}_usd for each pair that has an amount, in sorted order."""
+    if pairs is None:
+        named = records.filter(F.col("amount").isNotNull()).withColumn("__pair", F.concat_ws("_", "source", "fund", F.lit("usd")))
+        return records.select(*keys).distinct().join(named.groupBy(*keys).pivot("__pair").agg(money("amount")), list(keys), "left")
     sums = [money(F.when((F.col("source") == s) & (F.col("fund") == f), F.col("amount"))).alias(n) for (s, f), n in zip(pairs, names)]
     return records.groupBy(*keys).agg(*sums)
 
 
+def metric_columns(records: DataFrame, keys: Sequence[str], columns: dict[str, str], metric: str = "metric_value") -> DataFrame:
+    """Sums of a physical measure as columns: source -> name. Sources do not mix, and a sum without any known part is NULL."""
+    return records.groupBy(*keys).agg(*(F.round(F.sum(F.when(F.col("source") == s, F.col(metric))), 6).alias(n) for s, n in columns.items()))
+
+
 def unpivot_metrics(wide: DataFrame, ids: Sequence[str], columns: dict[str, str]) -> DataFrame:
     """(ids, metric, value) rows from metric -> column."""
     renamed = wide.select(*ids, *(F.col(c).cast("double").alias(m) for m, c in columns.items()))

@@ -112,24 +112,34 @@ def spearman(points: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("paired_observations"), F.sum("shared").alias("shared_cells"), F.round(guarded_corr("rx", "ry"), 6).alias("spearman_rho"))
 
 
-def kendall(points: DataFrame, keys: list[str], id_col: str = "point") -> DataFrame:
-    """Kendall's tau-b over pairs of points.
+def kendall(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Kendall's tau-b over pairs of points, from counts alone: n points make n log n rows, no pairs.
 
-    Points with equal values collapse to one weighted row first. Concordant
-    and discordant pairs are counted over distinct values, so that repeated
-    values do not square.
+    Two ranks of y differ first in some bit. Among points that agree in all
+    higher bits, one with the bit and a smaller x is discordant with one
+    without it, so a running sum over x counts the discordant pairs of each
+    bit. Pairs tied in x or y come from group sizes; concordant ones are left.
     """
     cells = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
-    a, b = cells.alias("a"), cells.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    cond = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y")))
-    for s in same:
-        cond = cond & s
-    pairs = a.join(b, cond).select(*(F.col(f"a.{k}").alias(k) for k in keys), (F.signum(F.col("b.x") - F.col("a.x")) * F.signum(F.col("b.y") - F.col("a.y"))).alias("s"), (F.col("a.x") == F.col("b.x")).alias("tx"), (F.col("a.y") == F.col("b.y")).alias("ty"), (F.col("a.w") * F.col("b.w")).cast("double").alias("w"))
-    total = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0))
-    counts = pairs.groupBy(*keys).agg(total(F.col("s") > 0).alias("c"), total(F.col("s") < 0).alias("d"), total(F.col("tx") & ~F.col("ty")).alias("tx"), total(F.col("ty") & ~F.col("tx")).alias("ty"))
-    scale = F.sqrt((F.col("c") + F.col("d") + F.col("tx")) * (F.col("c") + F.col("d") + F.col("ty")))
-    return counts.select(*keys, F.round(F.when(scale > 0, (F.col("c") - F.col("d")) / scale), 6).alias("kendall_tau_b"))
+    within = Window.partitionBy(*keys)
+    ranked = cells.withColumns({"rx": F.dense_rank().over(within.orderBy("x")), "ry": F.dense_rank().over(within.orderBy("y"))}).withColumn("bits", F.length(F.bin(F.max("ry").over(within))))
+    levels = ranked.select(*keys, "rx", "ry", "w", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
+    levels = levels.select(*keys, "rx", "w", "bit", F.expr("shiftright(ry, bit + 1)").alias("above"), (F.expr("shiftright(ry, bit)") % 2 == 1).alias("is_set"))
+    smaller = Window.partitionBy(*keys, "bit", "above").orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
+    passed = levels.withColumn("passed", F.coalesce(F.sum(F.when(F.col("is_set"), F.col("w"))).over(smaller), F.lit(0)))
+    discordant = passed.groupBy(*keys).agg(F.sum(F.when(~F.col("is_set"), F.col("w") * F.col("passed")).otherwise(0)).cast("double").alias("d"))
+
+    none = F.lit(None).cast("double")
+    kinds = [("all", none, none), ("x", F.col("x"), none), ("y", none, F.col("y")), ("both", F.col("x"), F.col("y"))]
+    tied = cells.select(*keys, "w", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y")) for k, x, y in kinds))).alias("t"))
+    sizes = tied.groupBy(*keys, "t").agg(F.sum("w").cast("double").alias("n"))
+    pairs = sizes.groupBy(*keys).agg(*(F.sum(F.when(F.col("t.kind") == k, F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0)).alias(f"{k}_pairs") for k, _, _ in kinds))
+    counts = pairs.join(discordant, keys)
+    # without ties in x (in y): what tau-b divides by
+    free_x, free_y = F.col("all_pairs") - F.col("x_pairs"), F.col("all_pairs") - F.col("y_pairs")
+    c = F.col("all_pairs") - F.col("x_pairs") - F.col("y_pairs") + F.col("both_pairs") - F.col("d")
+    scale = F.sqrt(free_x * free_y)
+    return counts.select(*keys, F.round(F.when(scale > 0, (c - F.col("d")) / scale), 6).alias("kendall_tau_b"))
 
 
 def correlations(long: DataFrame) -> DataFrame:
@@ -179,10 +189,12 @@ def source_quality(records: DataFrame, sources: DataFrame) -> DataFrame:
         rate(filled("title")).alias("title_known_rate"), rate(filled("fund") & (F.col("fund") != "unspecified")).alias("fund_classified_rate"),
     )
     counts = ("total_records", "value_known_count", "value_missing_count")
-    return F.broadcast(sources.select("source")).join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    return sources.select("source").join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
 
 
-def upper_median(value: str) -> Column:
-    """The element at floor(n / 2) of the sorted values."""
-    values = F.sort_array(F.collect_list(value))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, upper_median): the element at floor(n / 2) of the sorted values, from counts of each distinct value."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*group)
+    run = counts.withColumns({"upto": F.sum("n").over(w.orderBy(value)), "half": F.floor(F.sum("n").over(w) / 2)})
+    return run.filter((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select(*group, F.col(value).alias("upper_median"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import clean as C
 from panelweave.functions import evidence as E
-from panelweave.operators import batch_review, breaks, dashboards, graph, matching, panel, review, stats
+from panelweave.operators import batch_review, breaks, dashboards, graph, matching, panel, publish, review, stats
 
 SOURCES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 NAMES = ("s1", "s2", "s3", "s4", "s5")
@@ -107,8 +107,8 @@ def panel_long_fund(spark, d):
     return panel.long_fund_panel(records(spark, d), nations(spark, d), FIRST, LAST)
 
 
-_PAIRS = [(s, f) for s in SOURCES[:2] for f in ("AUTOMOBILE", "BUILDING")]
-_PAIR_NAMES = [f"{n}_{f.lower()}_usd" for n in NAMES[:2] for _, f in _PAIRS[:2]]
+_PAIRS = [(s, f) for s in SOURCES for f in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
+_PAIR_NAMES = [f"{NAMES[SOURCES.index(s)]}_{f.lower()}_usd" for s, f in _PAIRS]
 
 
 @query(f"WITH {REC} SELECT entity, " + ", ".join(f"CAST(sum(CAST(CASE WHEN source = '{s}' AND fund = '{f}' THEN amount END AS DECIMAL(18, 2))) AS DOUBLE) AS {n}" for (s, f), n in zip(_PAIRS, _PAIR_NAMES)) + " FROM rec GROUP BY entity")
@@ -116,16 +116,6 @@ def panel_fund_columns(spark, d):
     return panel.fund_columns(records(spark, d), ["entity"], _PAIRS, _PAIR_NAMES)
 
 
-#: Every pair of source and fund; panel_fund_columns has four of them.
-_ALL_PAIRS = [(s, f) for s in SOURCES for f in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
-_ALL_PAIR_NAMES = [f"{NAMES[SOURCES.index(s)]}_{f.lower()}_usd" for s, f in _ALL_PAIRS]
-
-
-@query(f"WITH {REC} SELECT entity, " + ", ".join(f"CAST(sum(CAST(CASE WHEN source = '{s}' AND fund = '{f}' THEN amount END AS DECIMAL(18, 2))) AS DOUBLE) AS {n}" for (s, f), n in zip(_ALL_PAIRS, _ALL_PAIR_NAMES)) + " FROM rec GROUP BY entity")
-def panel_fund_columns_all(spark, d):
-    return panel.fund_columns(records(spark, d), ["entity"], _ALL_PAIRS, _ALL_PAIR_NAMES)
-
-
 @query(f"SELECT event_type, CAST(year(ts) AS INTEGER) AS year, {MONEY.format('value')} AS value, count(*) AS row_count FROM events GROUP BY ALL")
 def macro_from_parts(spark, d):
     parts = table(spark, d, "events").select("event_type", F.year("ts").alias("year"), "value")
@@ -173,19 +163,14 @@ def entity_summary(spark, d):
     return stats.entity_summary(metrics(spark, d))
 
 
-@query(f"""WITH {REC}, s AS (SELECT unnest(['1-URGENT', '2-HIGH', '6-NONE']) AS source), g AS (SELECT source, count(*) AS total_records, count(amount) AS value_known_count, count(*) - count(amount) AS value_missing_count, round((count(*) - count(amount)) / count(*), 6) AS value_missing_rate,
-  round(count(*) FILTER (entity <> '') / count(*), 6) AS entity_known_rate, round(count(period) / count(*), 6) AS period_known_rate, round(count(*) FILTER (title <> '') / count(*), 6) AS title_known_rate, round(count(*) FILTER (fund <> '' AND fund <> 'unspecified') / count(*), 6) AS fund_classified_rate FROM rec GROUP BY source)
-SELECT s.source, coalesce(total_records, 0) AS total_records, coalesce(value_known_count, 0) AS value_known_count, coalesce(value_missing_count, 0) AS value_missing_count, value_missing_rate, entity_known_rate, period_known_rate, title_known_rate, fund_classified_rate FROM s LEFT JOIN g USING (source)""")
-def source_quality(spark, d):
-    return stats.source_quality(records(spark, d), spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("6-NONE",)], "source string"))
-
-
-#: Every source and one without records; source_quality has two of them.
+#: Every source and one without records.
 _ALL_SOURCES = [*SOURCES, "6-NONE"]
 
 
-@query(SQL["source_quality"].replace("['1-URGENT', '2-HIGH', '6-NONE']", str(_ALL_SOURCES)))
-def source_quality_all(spark, d):
+@query(f"""WITH {REC}, s AS (SELECT unnest({_ALL_SOURCES}) AS source), g AS (SELECT source, count(*) AS total_records, count(amount) AS value_known_count, count(*) - count(amount) AS value_missing_count, round((count(*) - count(amount)) / count(*), 6) AS value_missing_rate,
+  round(count(*) FILTER (entity <> '') / count(*), 6) AS entity_known_rate, round(count(period) / count(*), 6) AS period_known_rate, round(count(*) FILTER (title <> '') / count(*), 6) AS title_known_rate, round(count(*) FILTER (fund <> '' AND fund <> 'unspecified') / count(*), 6) AS fund_classified_rate FROM rec GROUP BY source)
+SELECT s.source, coalesce(total_records, 0) AS total_records, coalesce(value_known_count, 0) AS value_known_count, coalesce(value_missing_count, 0) AS value_missing_count, value_missing_rate, entity_known_rate, period_known_rate, title_known_rate, fund_classified_rate FROM s LEFT JOIN g USING (source)""")
+def source_quality(spark, d):
     return stats.source_quality(records(spark, d), spark.createDataFrame([(s,) for s in _ALL_SOURCES], "source string"))
 
 
@@ -386,27 +371,6 @@ def reciprocal_best(spark, d):
     return matching.reciprocal_best(scored(spark, d))
 
 
-def chains(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 10 in (1, 2, 3, 6, 7)")
-    return p.select(F.concat(F.lit("k"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("u"), F.concat(F.lit("k"), F.lpad((F.col("p_partkey") + 1).cast("string"), 9, "0")).alias("v"))
-
-
-_CHAINS = "e AS (SELECT 'k' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS u, 'k' || lpad(CAST(p_partkey + 1 AS VARCHAR), 9, '0') AS v FROM part WHERE p_partkey % 10 IN (1, 2, 3, 6, 7)), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT DISTINCT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.seen = b.u), cc AS (SELECT node, min(seen) AS component FROM r GROUP BY node)"
-
-
-@query(f"WITH RECURSIVE {_CHAINS} SELECT * FROM cc")
-def components(spark, d):
-    return graph.connected_components(chains(spark, d))
-
-
-@query(f"""WITH RECURSIVE {_CHAINS}, q AS (SELECT 'k' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS left_key, 'k' || lpad(CAST(p_partkey + 2 AS VARCHAR), 9, '0') AS right_key FROM part)
-SELECT left_key, right_key, CASE WHEN coalesce(l.component, left_key) = coalesce(r.component, right_key) THEN 'same_project' ELSE 'different_project' END AS review_decision FROM q LEFT JOIN cc l ON left_key = l.node LEFT JOIN cc r ON right_key = r.node""")
-def completed_reviews(spark, d):
-    key = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 9, "0"))
-    queue = table(spark, d, "part").select(key(F.col("p_partkey")).alias("left_key"), key(F.col("p_partkey") + 2).alias("right_key"))
-    return review.complete(queue, chains(spark, d).select(F.col("u").alias("left_key"), F.col("v").alias("right_key")))
-
-
 def whole_graph(spark, d):
     """Edges of every row: one chain of all parts, and part and supplier of each line, where suppliers are hubs."""
     key = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 9, "0"))
@@ -428,8 +392,19 @@ def named_parts(spark, d):
     return queue.select(key("a").alias("left_key"), key("b").alias("right_key")), p.select(key("k").alias("left_key"), F.concat_ws("|", F.lit("hub"), "p_name", "p_brand").alias("right_key"))
 
 
-@query()
-def completed_reviews_all(spark, d):
+#: Hubs of parts of one name and brand: a component is a hub with its parts, so that SQL needs no recursion.
+_HUBS = "pk AS (SELECT p_partkey AS k, p_name, 'k' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node, 'hub|' || p_name || '|' || p_brand AS hub FROM part), cc AS (SELECT node, min(hub) OVER (PARTITION BY hub) AS component FROM pk UNION SELECT hub, hub FROM pk)"
+
+
+@query(f"WITH {_HUBS} SELECT * FROM cc")
+def components(spark, d):
+    return graph.connected_components(named_parts(spark, d)[1], "left_key", "right_key")
+
+
+@query(f"""WITH {_HUBS}, fi AS (SELECT p_name, min(k) AS least FROM pk GROUP BY p_name), q AS (SELECT k AS a, k + 2 AS b FROM pk UNION SELECT least, k FROM pk JOIN fi USING (p_name) WHERE least < k),
+  e AS (SELECT 'k' || lpad(CAST(a AS VARCHAR), 9, '0') AS left_key, 'k' || lpad(CAST(b AS VARCHAR), 9, '0') AS right_key FROM q)
+SELECT left_key, right_key, CASE WHEN coalesce(l.component, left_key) = coalesce(r.component, right_key) THEN 'same_project' ELSE 'different_project' END AS review_decision FROM e LEFT JOIN cc l ON left_key = l.node LEFT JOIN cc r ON right_key = r.node""")
+def completed_reviews(spark, d):
     return review.complete(*named_parts(spark, d))
 
 
@@ -501,7 +476,7 @@ def source_findings(spark, d):
 
 @query("SELECT p_brand, list_sort(list(p_size))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median FROM part GROUP BY p_brand")
 def upper_medians(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(stats.upper_median("p_size").alias("upper_median"))
+    return stats.upper_medians(table(spark, d, "part"), ["p_brand"], "p_size")
 
 
 @query("SELECT * FROM part WHERE contains(lower(p_name), 'red w') OR contains(lower(p_brand), 'red w') OR contains(lower(p_type), 'red w')")
@@ -548,9 +523,10 @@ def _catalogues(spark, d):
 @query()
 def batch_reviewed(spark, d):
     recs, cand = matching.apply_matching(_catalogues(spark, d))
-    queue = review.review_queue(cand, recs).withColumn("ordinal", F.xxhash64("candidate_id"))
-    none = spark.createDataFrame([], "candidate_id string, left_key string, right_key string, review_decision string")
-    return batch_review.batch_review(queue, recs, none, complete=True)
+    # in published order; a first share of the queue is decided beforehand, by the rules that need no judgement
+    queue = publish.numbered(review.review_queue(cand, recs), *publish.order_of("candidates")).withColumnRenamed("position", "ordinal")
+    known = review.recommend(queue).filter("auto_apply and ordinal % 3 = 0").select("candidate_id", "left_key", "right_key", "review_decision")
+    return batch_review.batch_review(queue, recs, known, complete=True)
 
 
 _SAID = "CASE p_partkey % 6 WHEN 0 THEN 'Loan of USD ' || p_size || ',500 thousand, Phase II' WHEN 1 THEN 'eur 2.5 million first phase' WHEN 2 THEN '$3bn line' WHEN 3 THEN p_size || ' MW dam, 2nd lot' WHEN 4 THEN 'line of 33kV and 12 km' ELSE 'no figure' END"

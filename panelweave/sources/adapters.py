@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from panelweave.functions.clean import amount, first_filled, fund_type, harmoniz
 from panelweave.sources.files import read_csv
 
 MILLION = 1_000_000.0
+#: Number of the row in its file, where there is one.
+ROW = "__row"
 RECORD_COLUMNS = (
     "project_match_id", "record_key", "source", "record_id", "entity", "period", "period_basis", "title", "description", "amount", "amount_unit", "price_basis", "amount_measure", "amount_missing",
     "metric_value", "metric_unit", "flow_type_raw", "fund", "sector_raw", "sector", "latitude", "longitude", "geo_precision", "is_regional", "is_estimated", "refs", "source_file",
@@ -53,18 +55,19 @@ class Source:
     refs: dict = field(default_factory=dict)
 
 
-#: Columns of the raw files.
+#: Columns of the raw files, in load order.
 SOURCES = (
     Source("aiddata", "aiddata_africa_clean.csv", "AidData_Record_ID", "Country_of_Activity", "Commitment_Year", "Title", "Clean_Amount_USD", "constant_2023_usd", "commitment", flow="Flow_Type", sector="Sector_Code"),
     Source("codf", "bu_codf_africa_clean.csv", "贷款号", "国家", "年份", "项目", "Clean_Amount_USD", "nominal_usd", "loan_commitment", period_basis="loan_commitment_year", flow_text="Loan", fund="loan", sector=("行业", "能源类型"), regional="Is_Regional"),
     Source("cla", "cla_africa_clean.csv", "BU ID", "country_en_standard", "Year", "Project Name", "Loan_USD_M", "nominal_usd", "loan_commitment", multiplier=MILLION, period_basis="loan_commitment_year", flow_text="Loan", fund="loan", sector=("Sector", "Energy Source"), regional="country_iso"),
     Source("cancel", "cancellation_africa_clean.csv", "Record_ID", "ISO_A3", "Year", (), "Cancel_Amount_USD_Mn", "nominal_usd", "debt_cancellation", by_iso=True, multiplier=MILLION, period_basis="agreement_year", flow_text="Debt cancellation", fund="debt_relief", sector_label="debt", sector_text="Debt", estimated="Is_Estimated"),
     Source("restruct", "restructuring_africa_clean.csv", "Record_ID", "ISO_A3", "Year_Numeric", ("Related_Projects", "Description"), "Restructure_Amount_USD_Mn", "nominal_usd", "debt_restructuring", by_iso=True, multiplier=MILLION, period_basis="agreement_year", flow="Type_of_Finance_Full", flow_text="Debt restructuring", fund="loan", sector_label="debt", sector_text="Debt", estimated="Is_Estimated", description="Description"),
+    Source("cofi", "cofi_africa_clean.csv", "unique_id", "country_iso3c", "commissioning_year", "power_plant_name", "total_investment_amount_USD", "nominal_usd", "investment", by_iso=True, flow="investment_type_standard", sector="primary_fuel", sector_label="energy", sector_text="Energy", metric="installed_capacity"),
     Source("cgef", "CGEF_Africa_2024_Cleaned.csv", "贷款号", "国家", "年份", "项目名称", "贷款金额（百万美元）", "nominal_usd", "loan_commitment", multiplier=MILLION, period_basis="loan_commitment_year", flow_text="Loan", fund="loan", sector=("能源类型", "能源次级部门"), sector_label="energy"),
     Source("cgp", "CGP_Africa_2025_Cleaned.csv", "CGP ID", "国家", ("融资年份", "投产年份"), ("发电厂名称", "发电机组名称"), None, "not_applicable", "capacity", period_basis="financing_year", flow="投资类型", sector="技术", sector_label="energy", metric="产能 （兆瓦）", refs={"cla": "BU_ID", "cgef": "BU_ID"}),
     Source("chapo", "chapo_africa_clean.csv", "AidData_ID", "country_iso", "Commitment_Year", ("New_Short_Title", "Short_Title"), "Amount_USD", "constant_2021_usd", "commitment", by_iso=True, flow="Flow_Type", fund_fallback="grant", sector_label="health", sector_text="Health", description="Description", refs={"aiddata": "AidData_ID"}),
 )
-COFI = Source("cofi", "cofi_africa_clean.csv", "unique_id", "country_iso3c", "commissioning_year", "power_plant_name", "total_investment_amount_USD", "nominal_usd", "investment", by_iso=True, flow="investment_type_standard", sector="primary_fuel", sector_label="energy", sector_text="Energy", metric="installed_capacity")
+COFI = next(s for s in SOURCES if s.name == "cofi")
 #: Names that resolve to a code beside a country's own.
 ALIASES = {
     "swaziland": "SWZ", "eswatini": "SWZ", "the gambia": "GMB", "gambia": "GMB", "cabo verde": "CPV", "cape verde": "CPV", "ivory coast": "CIV", "cote d ivoire": "CIV", "republic of the congo": "COG", "congo republic": "COG",
@@ -94,10 +97,10 @@ def _cell(df: DataFrame, name: str | Sequence[str] | None) -> Column:
 
 
 def records_of(raw: DataFrame, s: Source, names: DataFrame) -> DataFrame:
-    """Records of one source in RECORD_COLUMNS. Codes are upper-cased but not checked; unknown names give NULL."""
+    """Records of one source in RECORD_COLUMNS, with ordinal where raw has ROW. Codes are upper-cased but not checked; unknown names give NULL."""
     place = _cell(raw, s.entity)
     found = raw.withColumns({"__norm": norm_text(F.coalesce(place, F.lit(""))), "__title": F.coalesce(F.trim(_cell(raw, s.title)), F.lit("Debt cancellation" if s.name == "cancel" else "")), "__flow": F.coalesce(_cell(raw, s.flow), F.lit(s.flow_text))})
-    found = found.join(F.broadcast(names.select(F.col("name").alias("__norm"), F.col("code").alias("__code"))), "__norm", "left")
+    found = found.join(names.select(F.col("name").alias("__norm"), F.col("code").alias("__code")), "__norm", "left")
     entity = F.nullif(F.upper(F.trim(place)), F.lit("")) if s.by_iso else F.col("__code")
     if s.regional:
         flag = _cell(raw, s.regional)
@@ -122,6 +125,9 @@ def records_of(raw: DataFrame, s: Source, names: DataFrame) -> DataFrame:
     }
     if s.name == "cgp":
         cols["geo_precision"] = F.when(_cell(raw, "州/省").isNotNull(), "subnational").otherwise("country")
+    if ROW in raw.columns:
+        # two events of one row follow each other
+        cols["ordinal"] = F.col(ROW) * 4 + (F.col("__place") if "__place" in raw.columns else F.lit(0))
     return found.select(*(c.alias(n) for n, c in cols.items()))
 
 
@@ -136,7 +142,7 @@ def dated_events(raw: DataFrame) -> DataFrame:
     event = lambda name, year, value: F.struct(F.lit(name).alias("name"), parse_year(_cell(raw, year)).alias("year"), value.alias("value"))
     some = F.filter(F.array(event("debt", "debt_investment_year", debt), event("equity", "equity_investment_year", equity)), lambda e: e["year"].isNotNull() | e["value"].isNotNull())
     total = F.array(event("total", "commissioning_year", parse_number(_cell(raw, "total_investment_amount_USD"))))
-    return raw.withColumn("event", F.explode(F.when(F.size(some) > 0, some).otherwise(total)))
+    return raw.select("*", F.posexplode(F.when(F.size(some) > 0, some).otherwise(total)).alias("__place", "event"))
 
 
 def cofi_records(raw: DataFrame, names: DataFrame) -> DataFrame:
@@ -153,10 +159,15 @@ def cofi_records(raw: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def all_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all nine sources, with ordinal as load order within each."""
+    """Records of all nine sources, with ordinal as load order: by source, then by row of its file.
+
+    A file with cells of several lines is read in one piece, so the numbers of
+    its rows follow the file. A folder of part files stands for a file; then
+    rows are in order within each part.
+    """
     names = entity_names(read_csv(spark, f"{folder}/fdi_africa_metadata.csv"))
-    parts = [records_of(read_csv(spark, f"{folder}/{s.file}"), s, names) for s in SOURCES]
-    parts.append(cofi_records(read_csv(spark, f"{folder}/{COFI.file}"), names))
-    order = {s.name: k for k, s in enumerate((*SOURCES, COFI))}
-    rank = F.element_at(F.create_map(*(F.lit(x) for pair in order.items() for x in pair)), F.col("source")).cast("long")
-    return reduce(DataFrame.unionByName, parts).withColumn("ordinal", rank * F.lit(1 << 40) + F.pmod(F.xxhash64("record_key"), F.lit(1 << 40)))
+    parts = []
+    for rank, s in enumerate(SOURCES):
+        raw = read_csv(spark, f"{folder}/{s.file}").withColumn(ROW, F.monotonically_increasing_id())
+        parts.append((cofi_records if s.name == "cofi" else partial(records_of, s=s))(raw, names=names).withColumn("ordinal", F.lit(rank) * F.lit(1 << 56) + F.col("ordinal")))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from panelweave.plans.queries import QUERIES, SQL
+from panelweave.plans.catalog import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -77,11 +77,11 @@ def test_reviews_of_every_part(spark, sf_dir, duck):
         first.setdefault(n, k)
     pairs = {(f"k{a:09}", f"k{b:09}") for k, n, _ in parts for a, b in ((k, k + 2), (first[n], k)) if a < b}
     want = {(a, b, "same_project" if root.get(a, a) == root.get(b, b) else "different_project") for a, b in pairs}
-    got = QUERIES["completed_reviews_all"](spark, sf_dir).collect()
+    got = QUERIES["completed_reviews"](spark, sf_dir).collect()
     assert {(r["left_key"], r["right_key"], r["review_decision"]) for r in got} == want and len(got) == len(want) and len({x[2] for x in want}) == 2
 
 
 def test_all_sources_and_pairs(spark, sf_dir, duck):
     real = {x for (x,) in duck.execute("select distinct o_orderpriority from orders").fetchall()}
-    assert {r["source"] for r in QUERIES["source_quality_all"](spark, sf_dir).collect()} == real | {"6-NONE"}
-    assert len(QUERIES["panel_fund_columns_all"](spark, sf_dir).columns) == 1 + len(real) * duck.execute("select count(distinct c_mktsegment) from customer").fetchone()[0]
+    assert {r["source"] for r in QUERIES["source_quality"](spark, sf_dir).collect()} == real | {"6-NONE"}
+    assert len(QUERIES["panel_fund_columns"](spark, sf_dir).columns) == 1 + len(real) * duck.execute("select count(distinct c_mktsegment) from customer").fetchone()[0]
