@@ -7,30 +7,39 @@ hub's edges. The number of rounds is logarithmic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.plans.storage import durable
+from panelweave.plans.storage import durable, durable_with
+
+def _facts() -> dict[str, Column]:
+    """What tells one round's edges from another's."""
+    return {"edges": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64("u", "v"))}
+
+
+def _with_least(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (u, v) with m of the row of nodes (u, m).
+
+    The key is wrapped, so that rows of nodes are shuffled anew: adaptive
+    execution can split a hub's edges only if both sides come from a shuffle.
+    """
+    left, right = edges.withColumn("k", F.struct("u")), nodes.select(F.struct("u").alias("k"), "m")
+    return left.join(right.hint("merge"), "k").drop("k")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """Rows (node, component) for every node of an edge; component is the least node it reaches.
 
@@ -42,13 +51,25 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     pairs = durable(pairs.distinct(), "edges")
     alone = pairs.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     now = pairs.filter("u <> v")
-    before = _fingerprint(now)
-    while before[0]:
-        now = durable(_small_star(_large_star(now)), "stars")
-        after = _fingerprint(now)
+    before = now.agg(*(c.alias(n) for n, c in _facts().items())).first().asDict()
+    while before["edges"]:
+        now, after = durable_with(_small_star(_large_star(now)), "stars", _facts())
         if after == before:
             break
         before = after
     linked = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return linked.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def extend_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after more edges (u, v): only edges between different components are worked through."""
+    moved = edges
+    for end in ("u", "v"):
+        root = components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root"))
+        moved = moved.join(root.hint("merge"), end, "left")
+    moved = moved.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).filter("u <> v")
+    joined = durable(connected_components(moved), "joined")
+    kept = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")).hint("merge"), "component", "left")
+    fresh = joined.join(components.select("node").hint("merge"), "node", "left_anti")
+    return kept.select("node", F.coalesce("root", "component").alias("component")).unionByName(fresh.select("node", "component"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Paths that this process was given, by application.
 _written: dict[str, list[str]] = {}
@@ -44,6 +44,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_with(df: DataFrame, name: str, facts: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """As durable(), and aggregates of the rows, observed while they are written."""
+    seen = Observation()
+    out = durable(df.observe(seen, *(c.alias(n) for n, c in facts.items())), name)
+    return out, seen.get
+
+
 def written(spark: SparkSession) -> list[str]:
     """Paths that place() gave and nobody dropped."""
     return list(_written.get(spark.sparkContext.applicationId, []))
