@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.llm.textbytes import mix, shingle_sets
-from panelweave.operators.graph import connected_components
+from panelweave.operators.graph import connected_components, extend_components
 from panelweave.plans.storage import durable
 
 SKETCH = T.StructType([
@@ -97,13 +97,18 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["u", "v", "shared"])
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the corpus: by merge, where adaptive execution splits a hot key, and never by way of the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (u, v, nu, nv) with the exact number of shared shingles."""
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    both = pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "x", "y")
+    both = _join(_join(pairs.select("u", "v"), one, "u"), two, "v").select("u", "v", "x", "y")
     found = both.mapInArrow(_shared, "u long, v long, shared long")
-    return pairs.join(found.groupBy("u", "v").agg(F.max("shared").alias("shared")), ["u", "v"])
+    return _join(pairs, found.groupBy("u", "v").agg(F.max("shared").alias("shared")), ["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +138,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     many = durable(classes.filter("copies > 1").select("digest", "node"), "classes")
     # one row stands for its class: the others are shed before any candidate search
-    stands = full.join(many, "digest", "left").filter("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "n", "a", "b")
+    stands = _join(full, many, "digest", "left").filter("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "n", "a", "b")
 
     keys = (
         stands.select("node", "n", F.posexplode("a").alias("i", "x"), "b")
@@ -141,7 +146,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
         .select(F.xxhash64("i", "x", "j", "y").alias("key"), "node", "n")
     )
     pivots = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("last")).filter("p.node <> last")
-    buckets = durable(keys.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("np")), "key").distinct(), "buckets")
+    buckets = durable(_join(keys, pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("np")), "key").distinct(), "buckets")
 
     def fits(x, y):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -150,7 +155,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
     star = durable(star.select(F.col("pivot").alias("u"), F.col("node").alias("v"), F.col("np").alias("nu"), F.col("n").alias("nv")).distinct(), "star")
     # sets are needed of bucket members only
     members = buckets.select(F.col("node")).distinct()
-    sets = texts.join(members, texts.doc_id == members.node, "left_semi").select("doc_id", "text")
+    sets = _join(texts, members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = durable(sets.mapInArrow(partial(_sets, width=width), SETS), "sets")
     linked = 100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared"))
     first = _verify(star, sets)
@@ -159,29 +164,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
 
     # what is left of each bucket that still spans components
     def open_rows(rows: DataFrame, comps: DataFrame) -> DataFrame:
-        placed = rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = _join(rows, comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-        return placed.join(spans.select("key"), "key", "left_semi")
+        return _join(placed, spans.select("key"), "key", "left_semi")
 
     rest = durable(open_rows(buckets, comps).filter("node <> pivot").select("key", "node", "n"), "open")
     # shingles that no other open member has cannot be shared: they bound what a pair can have in common
-    loose = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "shingle long, node long")
+    loose = _join(sets, rest.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "shingle long, node long")
     own = loose.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("own"))
-    rest = rest.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    rest = _join(rest, own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     rest = durable(rest.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "bounded")
     # a second pivot: the member with the fewest shingles of its own is the likeliest original of the others
     centre = rest.groupBy("key").agg(F.min(F.struct("own", "node", "n")).alias("p"))
-    rest = rest.join(centre.select("key", F.col("p.node").alias("centre"), F.col("p.n").alias("nc")), "key")
+    rest = _join(rest, centre.select("key", F.col("p.node").alias("centre"), F.col("p.n").alias("nc")), "key")
     star = rest.filter(fits(F.col("n"), F.col("nc")) & (F.col("node") != F.col("centre")))
     star = durable(star.select(F.col("centre").alias("u"), F.col("node").alias("v"), F.col("nc").alias("nu"), F.col("n").alias("nv")).distinct(), "star")
     second = durable(_verify(star, sets), "verified")
-    links = links.unionByName(second.filter(linked).select("u", "v"))
-    comps = durable(connected_components(links), "components")
+    comps = durable(extend_components(comps, second.filter(linked).select("u", "v")), "components")
     within = second.select(F.col("u").alias("centre"), F.col("v").alias("node"), F.col("shared").alias("inside"))
-    rest = durable(open_rows(rest.filter("node <> centre"), comps).join(within, ["centre", "node"], "left"), "open")
+    rest = durable(_join(open_rows(rest.filter("node <> centre"), comps), within, ["centre", "node"], "left"), "open")
 
     # a pair that meets in several buckets counts in the first of them only (a node has m * m keys at most)
-    rest = rest.join(rest.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+    rest = _join(rest, rest.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     # all pairs over two components whose sizes, own shingles and overlap with the centre allow a link
     x, y = rest.alias("x"), rest.alias("y")
     common = F.expr("""
@@ -190,13 +194,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, row
                  least(x.inside, y.inside) + least(x.n - x.own - x.inside, y.n - y.own - y.inside)))""")
     able = F.expr("x.key = y.key and x.component < y.component") & (100 * common >= percent * (F.col("x.n") + F.col("y.n") - common))
     able = able & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))")
-    pairs = x.join(y, able).select("x.node", "x.n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
+    pairs = x.join(y.hint("merge"), able).select("x.node", "x.n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
     pairs = durable(pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(F.col("node") < F.col("other"), F.col("n")).otherwise(F.col("m")).alias("nu"), F.when(F.col("node") < F.col("other"), F.col("m")).otherwise(F.col("n")).alias("nv")).distinct(), "pairs")
     third = durable(_verify(pairs, sets), "verified").filter(linked).select("u", "v")
-    comps = durable(connected_components(links.unionByName(third)), "components")
+    comps = durable(extend_components(comps, third), "components")
 
-    out = sketch.select("doc_id", "n", "digest").join(many, "digest", "left")
-    out = out.withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id"))).join(comps, "node", "left")
+    out = _join(sketch.select("doc_id", "n", "digest"), many, "digest", "left")
+    out = out.withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
+    out = _join(out, comps, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
