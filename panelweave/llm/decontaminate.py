@@ -94,7 +94,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
     Words are lower-cased runs of letters and digits, shingles have five words
     (an item with fewer counts whole, at its own width); word is the index of
     the window's first word. An item is compared with windows of its own number
-    of words (a shorter text: all of it). Similarity is the weighted Jaccard of shingle
+    of words (fewer where the text ends). Similarity is the weighted Jaccard of shingle
     counts; a shingle weighs 1 + ln((1 + items) / (1 + items that have it)).
 
     A window as similar as asked shares more of the item's weight than the
