@@ -47,7 +47,7 @@ class Tokens:
     @property
     def slots(self) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((self.keys * _SALTS[: len(self.keys), None]) >> np.uint64(64 - BITS)).astype(np.int32)
+            return np.array([((row * salt) >> np.uint64(64 - BITS)).astype(np.int32) for row, salt in zip(self.keys, _SALTS)])
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -194,8 +194,14 @@ def _documents(doc: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
 
 
 def _table(texts) -> Tokens:
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    return tokens(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64))
+    """Words of all texts, slice by slice, so that what hashing takes does not grow with the sample."""
+    parts, total = [], 0
+    for at, data, offsets in slices(pa.array(list(texts), pa.large_string())):
+        t = tokens(data, offsets)
+        parts.append((t.doc + at, t.start, t.end, t.chain + total, t.keys))
+        total += t.keys.shape[1]
+    parts = parts or [tuple(getattr(tokens(np.empty(0, np.uint8), np.zeros(1, np.int64)), f) for f in ("doc", "start", "end", "chain", "keys"))]
+    return Tokens(*(np.concatenate(x, axis=-1) for x in zip(*parts)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2500, most_chars: int = 20_000, rounds: int = 60, ridge: float = 0.02) -> TaggerModel:
