@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.nativewords import shingles, word_hashes
+from panelweave.llm.nativewords import plain_words, shingles, word_hashes
 from panelweave.plans.storage import durable
 
 WIDTH = 5
@@ -48,11 +48,11 @@ def bands(own: int, length: int, need: int, miss: float) -> int:
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
-    """(license, width, span, own): shingles of each template, how many places they take, their width."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", word_hashes(F.col("text")).alias("wh")).filter(F.size("wh") > 0)
+    """(license, words, width, span, own): words and shingles of each template, how many places they take, their width."""
+    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", plain_words(F.col("text")).alias("words"), word_hashes(F.col("text")).alias("wh")).filter(F.size("wh") > 0)
     rows = rows.withColumn("width", F.least(F.size("wh"), F.lit(WIDTH)))
     own = F.coalesce(*(F.when(F.col("width") == w, shingles("wh", w)) for w in range(WIDTH, 0, -1)))
-    return rows.select("license", "width", (F.size("wh") - F.col("width") + 1).alias("span"), F.array_distinct(own).alias("own"))
+    return rows.select("license", "words", "width", (F.size("wh") - F.col("width") + 1).alias("span"), F.array_distinct(own).alias("own"))
 
 
 def window_class(span: int) -> tuple[int, int]:
@@ -62,6 +62,18 @@ def window_class(span: int) -> tuple[int, int]:
     return cap + step - 1, step
 
 
+def telling_words(words: list[str], width: int, need: int) -> list[str]:
+    """Words, the longest first, without all of which no text has ``need`` of a template's shingles."""
+    shingles = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+    chosen, left = [], set(shingles)
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(left) < need:
+            break
+        chosen.append(word)
+        left = {s for s in left if word not in s}
+    return chosen
+
+
 def minhash(hashes: Column, band: Column) -> Column:
     """One hash function a band."""
     return F.transform(hashes, lambda x: F.xxhash64(x, band))
@@ -81,7 +93,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     Shingles have five words, or all of a shorter template. Templates fall in
     classes of about equal length, each with windows a little longer than its
     templates, so that one window holds a whole template wherever it stands.
-    Every window of every text is sketched; a class has as many bands as its
+    Texts without any of a template's telling words cannot reach the
+    containment; every window of every other text is sketched. A class has as many bands as its
     templates need (bands()), so that a window with the containment asked for
     is missed with probability ``miss`` at most. Templates with a band in
     common are verified by exact counts of shared shingles in every window.
@@ -93,21 +106,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     """
     spark = docs.sparkSession
     table = template_table(spark, TEMPLATES if templates is None else templates)
-    sizes = table.select("license", "width", "span", F.size("own").alias("own")).collect()  # the caller's own dictionary, without its texts
+    sizes = table.select("license", "words", "width", "span", F.size("own").alias("own")).collect()  # the caller's own dictionary
     hashed = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("wh"))
     if not sizes:
         return hashed.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("word")).limit(0)
     classes: dict[tuple[int, int, int], int] = {}
-    made = []
+    made, telling = [], set()
     for r in sizes:
         length, step = window_class(r["span"])
-        n = bands(r["own"], length, max(1, math.ceil(containment * r["own"] - 1e-9)), miss)
+        need = max(1, math.ceil(containment * r["own"] - 1e-9))
+        n = bands(r["own"], length, need, miss)
+        telling |= set(telling_words(r["words"], r["width"], need))
         made.append((r["license"], length, step, n))
         key = (r["width"], length, step)
         classes[key] = max(n, classes.get(key, 0))
     table = table.join(F.broadcast(spark.createDataFrame(made, "license string, length int, step int, bands int")), "license")
     sketch = table.select("license", "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda k: F.array_min(minhash(F.col("own"), k)))).alias("band", "key"))
 
+    known = spark.createDataFrame([(w,) for w in sorted(telling)], "word string").agg(F.collect_set(F.xxhash64("word")))
+    hashed = hashed.filter(F.arrays_overlap("wh", known.scalar()))
+
     widths = sorted({w for w, _, _ in classes})
     most = {w: max(n for c, n in classes.items() if c[0] == w) for w in widths}
     # the minhashes of the templates by band, read by every text

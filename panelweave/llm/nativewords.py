@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-cased words (runs of letters and digits) of a text; null or wordless: empty."""
+def plain_words(text: Column) -> Column:
+    """The lower-cased words (runs of letters and digits) of a text; null or wordless: empty."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of plain_words()."""
+    return F.transform(plain_words(text), lambda w: F.xxhash64(w))
 
 
 def shingle_at(hashes: str | Column, i: Column, width: int) -> Column:
