@@ -132,7 +132,7 @@ _AP = f"""me AS (SELECT c_custkey AS k, 'c' || lpad(CAST(c_custkey AS VARCHAR),
   gr AS (SELECT root, count(*) AS n, 'PM-' || upper(substr(sha1(string_agg(record_key, '|' ORDER BY record_key)), 1, 14)) AS pm FROM tagged GROUP BY root)"""
 
 
-@query(f"""WITH {_AP} SELECT record_key, CASE WHEN n > 1 THEN pm ELSE g END AS project_match_id, CASE WHEN joined AND k % 3 = 0 THEN 'human_confirmed' ELSE 'needs_review' END AS match_status, CASE WHEN joined AND k % 3 = 0 THEN 1.0 ELSE 0.8 END AS match_confidence FROM tagged JOIN gr USING (root)""")
+@query(f"""WITH {_AP} SELECT record_key, CASE WHEN n > 1 THEN pm ELSE g END AS project_match_id, CASE WHEN joined AND k % 3 = 0 THEN 'human_confirmed' ELSE 'needs_review' END AS match_status, CAST(CASE WHEN joined AND k % 3 = 0 THEN 1.0 ELSE 0.8 END AS DOUBLE) AS match_confidence FROM tagged JOIN gr USING (root)""")
 def applied_records(spark, d):
     recs, _ = review.apply_decisions(*_applied(spark, d))
     return recs.select("record_key", "project_match_id", "match_status", "match_confidence")
@@ -339,7 +339,7 @@ def catalogue_totals(spark, d):
     return dashboards.catalogue_totals(dashboards.filter_category(_catalogue(spark, d), "health"))
 
 
-@query(f"WITH {_CATALOGUE} SELECT 0 AS records, 0 AS most_countries, CAST(NULL AS INTEGER) AS first, CAST(NULL AS INTEGER) AS last")
+@query(f"WITH {_CATALOGUE} SELECT CAST(0 AS BIGINT) AS records, CAST(0 AS BIGINT) AS most_countries, CAST(NULL AS INTEGER) AS first, CAST(NULL AS INTEGER) AS last")
 def catalogue_totals_of_nothing(spark, d):
     return dashboards.catalogue_totals(dashboards.filter_category(_catalogue(spark, d), "none"))
 

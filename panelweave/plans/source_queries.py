@@ -258,7 +258,7 @@ def names_joined(spark, d):
 
 
 @query("""WITH rec AS (SELECT n_name AS entity, o_orderpriority AS source, year(o_orderdate) AS period, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
-SELECT entity, CAST(sum(n) AS BIGINT) AS records, count(DISTINCT source) AS source_count, CAST(max(n) FILTER (source = '2-HIGH' AND period = 1996) AS BIGINT) AS high_1996, min(period) AS first FROM rec GROUP BY entity""")
+SELECT entity, CAST(sum(n) AS BIGINT) AS records, count(DISTINCT source) AS source_count, CAST(max(n) FILTER (source = '2-HIGH' AND period = 1996) AS BIGINT) AS high_1996, CAST(min(period) AS INTEGER) AS first FROM rec GROUP BY entity""")
 def document_read(spark, d):
     """The entity document written as one JSON object and read back."""
     r = records(spark, d).withColumn("period", F.floor(F.col("period") / 12).cast("int"))
