@@ -56,7 +56,7 @@ def part_rows(duck):
         tokens = {w for w in norm.split() if len(w) >= 3} - set(C.STOPWORDS)
         lots = {f"{m}:{i}" for m, i in re.findall(rf"\b({'|'.join(C.MARKERS)})\s*(\d+|[ivx]+|[a-z])\b", norm)}
         refs = [f"{source}:{k + 1}"] if k % 9 == 0 else []
-        out.append(dict(k=k, key=f"{source}:{k}", source=source, norm=norm, tokens=tokens, lots=lots, block=(kind, size % 5), refs=refs, price=price, fund=brand[7], sector="energy" if size % 7 == 0 else "other", id=str(k)))
+        out.append(dict(k=k, key=f"{source}:{k}", source=source, norm=norm, tokens=tokens, lots=lots, block=(kind, size % 5), refs=refs, price=price, fund=brand[7:8], sector="energy" if size % 7 == 0 else "other", id=str(k)))
     return out
 
 
