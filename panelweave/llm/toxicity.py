@@ -8,6 +8,7 @@ marginals give the offending offsets and, calibrated, the document's score.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import partial
 
@@ -26,6 +27,8 @@ SCORES = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))),
 ])
 BITS = 18
+#: Chains up to which a step of all of them is not worth an array.
+FEW = 8
 PREFIXES = (4, 5, 6)
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -82,19 +85,35 @@ class Chains:
         self.first, self.length = first[order], length[order]
         longest = int(length.max()) if len(length) else 0
         self.active = np.searchsorted(-self.length, -np.arange(longest), "left")  # chains longer than t
+        self.wide = max(1, int((self.active > FEW).sum()))  # steps that many chains take together
 
     def passes(self, u: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds alpha (with u) and beta per word."""
+        """Log-odds alpha (with u) and beta per word; the ends of a few long chains go word by word."""
         e = np.exp(trans)
+        (e00, e01), (e10, e11) = e.tolist()
         alpha, beta = u.copy(), np.zeros_like(u)
-        for t in range(1, len(self.active)):
+        longer = [(int(f), int(n)) for f, n in zip(self.first, self.length) if n > self.wide]
+        for t in range(1, min(self.wide, len(self.active))):
             at = self.first[: self.active[t]] + t
             x = np.exp(np.clip(alpha[at - 1], -30, 30))
-            alpha[at] += np.log((e[0, 1] + e[1, 1] * x) / (e[0, 0] + e[1, 0] * x))
-        for t in range(len(self.active) - 1, 0, -1):
+            alpha[at] += np.log((e01 + e11 * x) / (e00 + e10 * x))
+        for f, n in longer:
+            a, ends = float(alpha[f + self.wide - 1]), []
+            for v in u[f + self.wide : f + n].tolist():
+                x = math.exp(min(30.0, max(-30.0, a)))
+                a = v + math.log((e01 + e11 * x) / (e00 + e10 * x))
+                ends.append(a)
+            alpha[f + self.wide : f + n] = ends
+            b, ends = 0.0, []
+            for v in u[f + self.wide : f + n][::-1].tolist():
+                x = math.exp(min(30.0, max(-30.0, v + b)))
+                b = math.log((e10 + e11 * x) / (e00 + e01 * x))
+                ends.append(b)
+            beta[f + self.wide - 1 : f + n - 1] = ends[::-1]
+        for t in range(min(self.wide, len(self.active)) - 1, 0, -1):
             at = self.first[: self.active[t]] + t
             x = np.exp(np.clip(u[at] + beta[at], -30, 30))
-            beta[at - 1] = np.log((e[1, 0] + e[1, 1] * x) / (e[0, 0] + e[0, 1] * x))
+            beta[at - 1] = np.log((e10 + e11 * x) / (e00 + e01 * x))
         return alpha, beta
 
 
