@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import clean as C
 from panelweave.operators import publish
+from panelweave.plans import build
 from panelweave.plans.queries import _CELLS, _case, members, query, records, table
 from panelweave.plans.storage import place
 from panelweave.sources import adapters, files, legacy
@@ -270,3 +271,32 @@ def document_read(spark, d):
     doc = spark.read.schema("entities array<struct<entity:string,records:long,source_count:long,first:int,cells:array<struct<key:string,value:long>>>>").json(path).select(F.explode("entities").alias("e"))
     high = F.get(F.filter("e.cells", lambda c: c["key"] == "2-HIGH|1996"), F.lit(0))["value"]
     return doc.select("e.entity", "e.records", "e.source_count", high.alias("high_1996"), "e.first")
+
+
+_CHECKS = (
+    "wide_key_is_unique wide_covers_skeleton long_key_is_unique long_is_balanced missing_amount_is_not_zero group_has_two_members entities_cover_records no_amount_across_sources missingness_fills_panel trend_key_is_unique summary_key_is_unique "
+    "spearman_in_range kendall_in_range robustness_covers_correlations lineage_is_known model_key_is_unique break_counts_agree break_within_run pending_records_are_queued outliers_are_records application_status_is_known"
+).split()
+
+
+@query(f'SELECT unnest({_CHECKS}) AS "check", CAST(0 AS BIGINT) AS failures')
+def built_panel_is_sound(spark, d):
+    """Raw files to statistics in one build, and its checks."""
+    return build.check(build.build(spark, raw_folder(spark, d)))
+
+
+_BUILT = f"""al AS ({_LOADED}), el AS (SELECT * FROM al WHERE entity IN ('KEN', 'CIV') AND period BETWEEN 2000 AND 2024)"""
+
+
+@query(f"""WITH {_BUILT}, sk AS (SELECT e AS entity, CAST(p AS INTEGER) AS period FROM (SELECT unnest(['KEN', 'CIV']) AS e), range(2000, 2025) t(p)),
+  ce AS (SELECT entity, period, count(*) FILTER (source = 'cla') AS cla_count, CAST(sum(CAST(amount AS DECIMAL(18, 2))) FILTER (source = 'cla') AS DOUBLE) AS cla_total, count(*) FILTER (source = 'cgp') AS cgp_count, round(sum(metric_value) FILTER (source = 'cgp'), 6) AS cgp_capacity_mw, CAST(sum(CAST(amount AS DECIMAL(18, 2))) FILTER (source = 'cofi' AND fund = 'equity') AS DOUBLE) AS cofi_equity_usd,
+    CAST(sum(CAST(amount AS DECIMAL(18, 2))) FILTER (source = 'chapo' AND fund = 'grant') AS DOUBLE) AS chapo_grant_usd FROM el GROUP BY ALL)
+SELECT sk.entity, sk.period, coalesce(cla_count, 0) AS cla_count, cla_total, coalesce(cgp_count, 0) AS cgp_count, cgp_capacity_mw, cofi_equity_usd, chapo_grant_usd FROM sk LEFT JOIN ce USING (entity, period)""")
+def built_wide_panel(spark, d):
+    """The wide panel of standardised records: counts, totals, capacities and discovered fund columns."""
+    folder = raw_folder(spark, d)
+    entities = adapters.sovereign(files.read_csv(spark, f"{folder}/fdi_africa_metadata.csv"))
+    wide = build.panel_tables(adapters.all_records(spark, folder), entities)["wide"]
+    # a column is discovered only where some amount is known
+    have = lambda c: F.col(c) if c in wide.columns else F.lit(None).cast("double").alias(c)
+    return wide.select("entity", "period", "cla_count", "cla_total", "cgp_count", "cgp_capacity_mw", have("cofi_equity_usd"), have("chapo_grant_usd"))
