@@ -273,18 +273,6 @@ def document_read(spark, d):
     return doc.select("e.entity", "e.records", "e.source_count", high.alias("high_1996"), "e.first")
 
 
-_CHECKS = (
-    "wide_key_is_unique wide_covers_skeleton long_key_is_unique long_is_balanced missing_amount_is_not_zero group_has_two_members entities_cover_records no_amount_across_sources missingness_fills_panel trend_key_is_unique summary_key_is_unique "
-    "spearman_in_range kendall_in_range robustness_covers_correlations lineage_is_known model_key_is_unique break_counts_agree break_within_run pending_records_are_queued outliers_are_records application_status_is_known"
-).split()
-
-
-@query(f'SELECT unnest({_CHECKS}) AS "check", CAST(0 AS BIGINT) AS failures')
-def built_panel_is_sound(spark, d):
-    """Raw files to statistics in one build, and its checks."""
-    return build.check(build.build(spark, raw_folder(spark, d)))
-
-
 _BUILT = f"""al AS ({_LOADED}), el AS (SELECT * FROM al WHERE entity IN ('KEN', 'CIV') AND period BETWEEN 2000 AND 2024)"""
 
 

@@ -144,6 +144,24 @@ def test_payload(spark, sf_dir, duck):
     assert all(sum(p["by_source"].values()) == sum(p["by_period"].values()) == p["records"] and len(p["by_source"]) == p["source_count"] for p in got.values())
 
 
+def test_whole_build(spark, sf_dir, tmp_path):
+    """Raw files of forty parts to statistics, and the checks of all of it; a decision joins two records."""
+    from panelweave.plans import build, source_queries
+
+    spark.read.parquet(f"{sf_dir}/part.parquet").limit(40).write.parquet(str(tmp_path / "part.parquet"))
+    folder = source_queries.raw_folder(spark, str(tmp_path))
+    built = build.build(spark, folder)
+    found = {r["check"]: r["failures"] for r in build.check(built).collect()}
+    assert len(found) == 21 and not any(found.values())
+    records = built["records"].count()
+    assert records == built["entities"].agg(F.sum("member_count")).first()[0] and records > 9 * 40
+    pair = built["queue"].orderBy("candidate_id").first()
+    said = spark.createDataFrame([(pair["candidate_id"], "same_project")], build.DECISIONS)
+    again = build.build(spark, folder, said)
+    ids = {r["record_key"]: (r["project_match_id"], r["match_status"]) for r in again["records"].collect()}
+    assert ids[pair["left_key"]] == ids[pair["right_key"]] and ids[pair["left_key"]][1] == "human_confirmed"
+
+
 def test_published_tables_are_sorted(spark, sf_dir):
     from panelweave.operators import publish
 
