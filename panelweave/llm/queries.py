@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, html_extract, licenses, mixing, near_dedup, quality, secret_scan, token_counts, toxicity, vector_search
+from panelweave.llm import decontaminate, html_extract, licenses, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity, vector_search
 from panelweave.llm.common import held_out
 
 #: Scores from here on predict label 1.
@@ -68,8 +68,13 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(table(spark, sf_dir, "documents"))
+    return token_files.read_documents(token_files.open_shards(spark, path))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_main_text, op4_top_k, op5_secret_scan, op6_section_tokens, op7_license_scan, op8_decontamination, op9_near_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_main_text, op4_top_k, op5_secret_scan, op6_section_tokens, op7_license_scan, op8_decontamination, op9_near_dedup, op10_mixture, op11_token_files)}
 
 
 ORACLE = {
