@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, html_extract, licenses, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity, vector_search
+from panelweave.llm import decontaminate, html_extract, lexical_search, licenses, mixing, near_dedup, quality, secret_scan, spelling, token_counts, token_files, toxicity, vector_search
 from panelweave.llm.common import held_out
 
 #: Scores from here on predict label 1.
@@ -73,8 +73,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.open_shards(spark, path))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), one_in=97))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_main_text, op4_top_k, op5_secret_scan, op6_section_tokens, op7_license_scan, op8_decontamination, op9_near_dedup, op10_mixture, op11_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_main_text, op4_top_k, op5_secret_scan, op6_section_tokens, op7_license_scan, op8_decontamination, op9_near_dedup, op10_mixture, op11_token_files, op12_spelling_variants, op13_lexical_search)}
 
 
 ORACLE = {
@@ -107,6 +115,56 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """.replace(" COLLATE C", ""),
+    "op12_spelling_variants": r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents WHERE text IS NOT NULL
+), d AS (
+  SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM r GROUP BY doc_id, run
+), b AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)) AS bytes FROM d
+), h AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, t.crc[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, t
+), s AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), p AS (
+  SELECT word, n, i, unnest([substr(word, 1, i - 1) || '*' || substr(word, i + 1), substr(word, 1, i - 1) || substr(word, i + 1)]) AS part
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), e AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM p a JOIN p b ON a.part = b.part AND a.word <> b.word WHERE contains(a.part, '*')
+  UNION SELECT p.word, p.n, w.word, w.n FROM p JOIN w ON p.part = w.word
+  UNION SELECT w.word, w.n, p.word, p.n FROM p JOIN w ON p.part = w.word
+), g AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM e GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN g.form_n >= 2 * w.n THEN g.form_n END AS form_n,
+    (SELECT min(other) FROM e WHERE e.word = w.word AND e.other_n = g.form_n AND g.form_n >= 2 * w.n) AS form FROM w LEFT JOIN g ON w.word = g.word
+), c AS (
+  SELECT word, form AS root, 1 AS depth FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+), l AS (SELECT word, arg_max(root, depth) AS root FROM c GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN l ON f.word = l.word
+""",
+    "op13_lexical_search": r"""
+WITH q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT r, doc_id, size, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS size, unnest(terms) AS term FROM d) GROUP BY r, doc_id, size, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term
+), x AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN p ON q.term = p.term JOIN w ON w.term = p.term, s GROUP BY item_id, r, doc_id
+), o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+""",
 }
 
 
