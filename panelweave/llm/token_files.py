@@ -10,10 +10,12 @@ up by position, counted and found without decoding a shard.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,8 @@ SHARD = T.StructType(
 _ARROW = pa.schema([("shard", pa.int64()), ("n_tokens", pa.int64())] + [(c, pa.list_(pa.int64())) for c in ("docs", "ends", "zeros")] + [(c, pa.list_(pa.binary())) for c in ("planes", "samples")])
 #: Positions and shards meet in ranges of two to this many tokens.
 BIN = 22
-#: Pieces of a text that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+#: A worker that remembers more pieces of texts than this, or more characters of them, forgets all.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 1 << 24
 
 
 def default_tokenizer() -> str:
@@ -62,10 +64,10 @@ class Encoder:
     """
 
     BORDER = re.compile(r"(?<=\S) (?=\S)")
+    #: A space that is no border.
+    OTHER = re.compile(r" \s|\s |^ | $")
 
     def __init__(self, file: bytes):
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
@@ -74,27 +76,59 @@ class Encoder:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         apart = all(not a.get("lstrip") and not a.get("rstrip") and not a.get("single_word") and not re.search(r"\s", a["content"]) for a in made.get("added_tokens", ()))
         self.by_pieces = bool(plain and apart and not made.get("normalizer") and not made.get("post_processor") and not made.get("truncation") and not made.get("padding"))
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Pieces by number; where the ids of each begin in self.ids.
+        self.known: dict[str, int] = {}
+        self.ends, self.ids, self.chars = np.zeros(1, np.int64), np.empty(0, np.uint32), 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        found = self._encode(pieces)
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.chars += sum(map(len, pieces))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end."""
         if not self.by_pieces:
-            return self._encode([text])[0]
-        first, *rest = self.BORDER.split(text)
-        pieces = [first, *(" " + x for x in rest)]
-        known = self.known
-        if new := [x for x in dict.fromkeys(pieces) if x not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._encode(new)))
-        out = np.concatenate([known[x] for x in pieces])
-        for x in new:
-            if len(x) > LONGEST or len(known) > REMEMBERED:
-                del known[x]
-        return out
+            found = self._encode(texts)
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
+        pieces, counts = [], []
+        for text in texts:
+            # a piece after a border begins with its space
+            first, *rest = self.BORDER.split(text) if self.OTHER.search(text) else text.split(" ")
+            pieces.append(first)
+            pieces += [" " + x for x in rest]
+            counts.append(1 + len(rest))
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self._forget()
+        if new := [x for x in dict.fromkeys(pieces) if x not in self.known]:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        lengths = self.ends[at + 1] - self.ends[at]
+        stops = np.cumsum(lengths)
+        return self.ids[np.repeat(self.ends[at] - stops + lengths, lengths) + np.arange(stops[-1])], stops[np.cumsum(counts) - 1]
+
+
+def _texts(batches, most_chars: int = 1 << 19):
+    """(ids of documents, texts) of some rows at a time, null as empty."""
+    docs, texts, size = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            docs.append(doc)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= most_chars:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
 
 
 def _shard(number: int, docs: list, ids: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -109,16 +143,16 @@ def _write(batches, file, end_id: int, bits: int, most_tokens: int):
     number = TaskContext.get().partitionId() << 33
     docs, ids, size = [], [], 0
     encoder = None
-    for batch in batches:
+    for names, texts in _texts(batches):
         encoder = encoder or _encoder(file.value)
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id))
-            if docs and size + len(own) > most_tokens:
+        found, stops = encoder.encode(texts)
+        for doc, own in zip(names, np.split(found, stops[:-1])):
+            if docs and size + len(own) >= most_tokens:
                 yield _shard(number, docs, ids, bits)
                 number, docs, ids, size = number + 1, [], [], 0
             docs.append(doc)
-            ids.append(own)
-            size += len(own)
+            ids.append(np.append(own, np.uint32(end_id)))
+            size += len(ids[-1])
     if docs:
         yield _shard(number, docs, ids, bits)
 

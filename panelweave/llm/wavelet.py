@@ -28,6 +28,7 @@ class WaveletMatrix:
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, samples, zeros = [], [], []
+        ids = ids.astype(np.uint16) if bits <= 16 else ids  # half the memory to move
         for b in range(bits - 1, -1, -1):
             one = (ids >> b & 1).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
@@ -38,13 +39,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order: the stable partitions are undone from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(out)
-            above[~one], above[one] = out[:zeros], out[zeros:] | np.uint32(1 << b)
+            above[~one], above[one] = out[:zeros], out[zeros:] | out.dtype.type(1 << b)
             out = above
-        return out
+        return out.astype(np.uint32)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Rank: the ones of a plane before each place."""

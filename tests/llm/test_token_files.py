@@ -36,7 +36,30 @@ def test_wavelet_matrix(n, bits, top):
 def test_pieces_are_whole_texts(text):
     e = token_files._encoder(open(token_files.default_tokenizer(), "rb").read())
     assert e.by_pieces
-    assert e.encode(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, ends = e.encode([text, "", "a " + text])
+    assert ids.tolist()[: ends[0]] == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ends[1] == ends[0] and ids.tolist()[ends[1] :] == e.tokenizer.encode("a " + text, add_special_tokens=False).ids
+
+
+def test_forgetting(monkeypatch, tokenizer):
+    monkeypatch.setattr(token_files, "REMEMBERED", 10)
+    e = token_files.Encoder(open(token_files.default_tokenizer(), "rb").read())
+    for k in range(9):
+        text = f"more words {k} than it  remembers, for ever {k}"
+        assert e.encode([text])[0].tolist() == tokenizer.encode(text).ids
+        assert len(e.known) < 25
+
+
+def test_other_tokenizers():
+    """A file whose units may cross spaces encodes texts as they are."""
+    import public_tokenizers
+
+    file = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    e = token_files.Encoder(file)
+    texts = ["Some text", "", "more  text here"]
+    ids, ends = e.encode(texts)
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not e.by_pieces and ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
 
 def digest(tokenizer, docs):
