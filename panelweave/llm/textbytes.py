@@ -78,13 +78,13 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
 
 
 class Spans:
-    """Hashes of any byte spans of one slice, ASCII letters lower-cased."""
+    """Hashes of any byte spans of one slice, ASCII letters lower-cased unless ``fold`` is false."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, fold: bool = True):
         self.powers = _power(_BASE, len(data) + 1)
         self.inverse = _power(_INVERSE, len(data) + 1)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * self.powers[: len(data)], dtype=np.uint64)])
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data] if fold else data] * self.powers[: len(data)], dtype=np.uint64)])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from panelweave.llm.textbytes import Spans, slices
 from panelweave.llm.wavelet import WaveletMatrix
 from panelweave.plans.storage import place
 
@@ -38,8 +39,8 @@ SHARD = T.StructType(
 _ARROW = pa.schema([("shard", pa.int64()), ("n_tokens", pa.int64())] + [(c, pa.list_(pa.int64())) for c in ("docs", "ends", "zeros")] + [(c, pa.list_(pa.binary())) for c in ("planes", "samples")])
 #: Positions and shards meet in ranges of two to this many tokens.
 BIN = 22
-#: A worker that remembers more pieces of texts than this, or more characters of them, forgets all.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 1 << 24
+#: A worker that remembers more pieces of texts than this, or more bytes of them, forgets all.
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 1 << 25
 
 
 def default_tokenizer() -> str:
@@ -57,16 +58,12 @@ def _encoder(file: bytes) -> Encoder:
 class Encoder:
     """Encodes whole texts by a tokenizer file, special tokens not added.
 
-    A byte-level tokenizer without normaliser starts a new unit at a space
-    between two other characters, whatever stands around. For such files the
-    pieces between these spaces are encoded once each and remembered; other
-    files encode each text as it is.
+    A byte-level tokenizer without normaliser starts a new unit wherever white
+    space follows something else, and wherever a stop follows a letter,
+    whatever stands around. For such files the pieces between these borders
+    are encoded once each and remembered; other files encode each text as it is.
     """
 
-    BORDER = re.compile(r"(?<=\S) (?=\S)")
-    #: A space that is no border.
-    OTHER = re.compile(r" \s|\s |^ | $")
-
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
@@ -74,61 +71,115 @@ class Encoder:
         self.tokenizer, made = Tokenizer.from_str(file.decode()), json.loads(file)
         split = made.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        apart = all(not a.get("lstrip") and not a.get("rstrip") and not a.get("single_word") and not re.search(r"\s", a["content"]) for a in made.get("added_tokens", ()))
-        self.by_pieces = bool(plain and apart and not made.get("normalizer") and not made.get("post_processor") and not made.get("truncation") and not made.get("padding"))
+        content = [np.frombuffer(a["content"].encode(), np.uint8) for a in made.get("added_tokens", ())]
+        apart = all(not a.get("lstrip") and not a.get("rstrip") and not a.get("single_word") for a in made.get("added_tokens", ())) and not any(_borders(c).any() for c in content)
+        self.by_pieces = bool(plain and apart and not any(made.get(x) for x in ("normalizer", "post_processor", "truncation", "padding")))
+        #: An added token, which parts the pieces of a longer text for the tokenizer.
+        self.mark = next(((a["content"], a["id"]) for a in made.get("added_tokens", ()) if a.get("special")), None)
         self._forget()
 
     def _forget(self) -> None:
-        #: Pieces by number; where the ids of each begin in self.ids.
-        self.known: dict[str, int] = {}
-        self.ends, self.ids, self.chars = np.zeros(1, np.int64), np.empty(0, np.uint32), 0
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = self._encode(pieces)
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.chars += sum(map(len, pieces))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and where each text's end."""
+        """Known pieces by number: their hashes in order and the numbers of these; where the bytes and the ids of each number end."""
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.bytes, self.byte_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode(), for many short texts: some hundred go as one, with marks between them."""
+        if self.mark is None or any(self.mark[0] in x for x in pieces):
+            return self._encode(pieces)
+        mark, number = self.mark
+        ids, _ = self._encode([mark.join(pieces[k : k + 400]) + mark for k in range(0, len(pieces), 400)])
+        at = np.flatnonzero(ids == number)
+        return ids[ids != number], at - np.arange(len(at))
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Pieces get the next numbers; hashes ascend."""
+        raw = data.tobytes()
+        ids, stops = self._encode_pieces([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+        at = np.searchsorted(self.hashes, hashes)
+        self.numbers = np.insert(self.numbers, at, np.arange(len(hashes)) + len(self.ends) - 1)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.bytes, self.byte_ends = np.concatenate([self.bytes, data[_spans(starts, ends)]]), np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum(ends - starts)])
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + stops])
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of pieces by hash, -1 where none is known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[spot] == hashes, self.numbers[spot], -1)
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Whether pieces are those that their numbers stand for, byte by byte: equal hashes prove nothing."""
+        same = ends - starts == self.byte_ends[numbers + 1] - self.byte_ends[numbers]
+        some = np.flatnonzero(same & (ends > starts))
+        if len(some):
+            equal = data[_spans(starts[some], ends[some])] == self.bytes[_spans(self.byte_ends[numbers[some]], self.byte_ends[numbers[some] + 1])]
+            first = np.cumsum(ends[some] - starts[some]) - (ends[some] - starts[some])
+            same[some] = np.logical_and.reduceat(equal, first)
+        return same
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, ends of rows in them) of runs of texts, null as empty."""
         if not self.by_pieces:
-            found = self._encode(texts)
-            return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
-        pieces, counts = [], []
-        for text in texts:
-            # a piece after a border begins with its space
-            first, *rest = self.BORDER.split(text) if self.OTHER.search(text) else text.split(" ")
-            pieces.append(first)
-            pieces += [" " + x for x in rest]
-            counts.append(1 + len(rest))
-        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self._forget()
-        if new := [x for x in dict.fromkeys(pieces) if x not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.ends[at + 1] - self.ends[at]
-        stops = np.cumsum(lengths)
-        return self.ids[np.repeat(self.ends[at] - stops + lengths, lengths) + np.arange(stops[-1])], stops[np.cumsum(counts) - 1]
-
-
-def _texts(batches, most_chars: int = 1 << 19):
-    """(ids of documents, texts) of some rows at a time, null as empty."""
-    docs, texts, size = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            docs.append(doc)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size >= most_chars:
-                yield docs, texts
-                docs, texts, size = [], [], 0
-    if docs:
-        yield docs, texts
+            for k, text in enumerate(texts.to_pylist()):
+                yield k, *self._encode([text or ""])
+            return
+        for row, data, offsets in slices(texts):
+            borders = _borders(data)
+            borders[offsets[:-1][offsets[:-1] < len(data)]] = True
+            starts = np.flatnonzero(borders)
+            ends = np.append(starts[1:], len(data))[: len(starts)]
+            hashes, first, piece = np.unique(Spans(data, fold=False).hash(starts, ends), return_index=True, return_inverse=True)
+            if len(self.hashes) > REMEMBERED or len(self.bytes) > REMEMBERED_BYTES:
+                self._forget()
+            one = starts[first], ends[first]
+            number = self._numbers(hashes)
+            new = np.flatnonzero(number < 0)
+            number[new] = np.arange(len(new)) + len(self.ends) - 1
+            if len(new):
+                self._learn(data, one[0][new], one[1][new], hashes[new])
+            number = number[piece]
+            wrong = ~self._same(data, starts, ends, number)
+            lengths = np.where(wrong, 0, self.ends[number + 1] - self.ends[number])
+            begins = self.ends[number]
+            ids, known = _spans(begins, begins + lengths), self.ids
+            if wrong.any():  # pieces whose hash another piece has
+                raw, at = data.tobytes(), np.flatnonzero(wrong)
+                other, stops = self._encode([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+                known, lengths[at] = np.concatenate([known, other]), np.diff(stops, prepend=0)
+                begins[at] = len(self.ids) + stops - lengths[at]
+                ids = _spans(begins, begins + lengths)
+            stops = np.concatenate([[0], np.cumsum(lengths)])
+            yield row, known[ids], stops[np.searchsorted(starts, offsets[1:])]
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of spans, one after the other."""
+    lengths = ends - starts
+    stops = np.cumsum(lengths)
+    return np.repeat(starts - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)
+
+
+_WHITE, _SOLID, _LETTER, _STOP = (np.zeros(256, bool) for _ in range(4))
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_SOLID[33:127] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+
+
+def _borders(data: np.ndarray) -> np.ndarray:
+    """Where a unit begins for sure: at white space after a visible character, at a stop after a letter; only ASCII and U+00C0 to U+00FF are judged."""
+    out = np.zeros(len(data), bool)
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+    out[1:] = (_WHITE[data[1:]] & (_SOLID[data[:-1]] | latin[:-1])) | (_STOP[data[1:]] & _LETTER[data[:-1]])
+    return out
 
 
 def _shard(number: int, docs: list, ids: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -143,16 +194,16 @@ def _write(batches, file, end_id: int, bits: int, most_tokens: int):
     number = TaskContext.get().partitionId() << 33
     docs, ids, size = [], [], 0
     encoder = None
-    for names, texts in _texts(batches):
-        encoder = encoder or _encoder(file.value)
-        found, stops = encoder.encode(texts)
-        for doc, own in zip(names, np.split(found, stops[:-1])):
-            if docs and size + len(own) >= most_tokens:
-                yield _shard(number, docs, ids, bits)
-                number, docs, ids, size = number + 1, [], [], 0
-            docs.append(doc)
-            ids.append(np.append(own, np.uint32(end_id)))
-            size += len(ids[-1])
+    for batch in batches:
+        encoder, names = encoder or _encoder(file.value), batch.column(0).to_pylist()
+        for row, found, stops in encoder.encode(batch.column(1)):
+            for doc, own in zip(names[row:], np.split(found, stops[:-1])):
+                if docs and size + len(own) >= most_tokens:
+                    yield _shard(number, docs, ids, bits)
+                    number, docs, ids, size = number + 1, [], [], 0
+                docs.append(doc)
+                ids.append(np.append(own, np.uint32(end_id)))
+                size += len(ids[-1])
     if docs:
         yield _shard(number, docs, ids, bits)
 
