@@ -8,6 +8,9 @@ points are the places.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +28,19 @@ WINDOW = 20
 LEAST = {"hex": 2.9, "letters": 4.05, "alnum": 3.75, "base64": 3.9}
 
 
-def _ordered(letters: str) -> str:
-    """Pattern of a run through letters in their order, from any on, begun again at the end."""
-    return "(?i:(?:" + "|".join(f"{a}(?={b}|$)" for a, b in zip(letters, letters[1:] + letters[0])) + ")+)"
-
-
+#: Letters in an order that is well known not to be secret, from any of them on and begun again at the end: the alphabet, rows of keys.
+ORDERS = ("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiopasdfghjklzxcvbnm")
 #: A word of camel case: a capital, two small letters or more, a vowel among them.
 HUMP = "(?=[AEIOUY]|[A-Z][a-z]*[aeiouy])[A-Z][a-z]{2,}"
-#: Letters that are well known not to be secret: the alphabet, rows of keys, words in camel case. Others are judged by their entropy.
-PLAIN = "|".join([*map(_ordered, ("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiopasdfghjklzxcvbnm")), f"(?:(?=[a-z]*[aeiouy])[a-z]{{2,}}|{HUMP})(?:{HUMP})+"])
-#: Candidates that are well known not to be secrets.
-ALLOWED = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]+|" + PLAIN + r"|[a-z]+(?:[-_/][a-z]+)+|[A-Za-z0-9]*EXAMPLE[A-Za-z0-9]*|[-=_+/]+)$"
+#: Other candidates that are well known not to be secrets: UUIDs, numbers, camel case, words with dashes, signs. Repeated groups
+#: are possessive, since Java's others recurse once a repetition; letters that other candidates are made of are judged by entropy.
+ALLOWED = (
+    "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    "[0-9]+",
+    f"(?:(?=[a-z]*[aeiouy])[a-z]{{2,}}+|{HUMP})(?:{HUMP})++",
+    "[a-z]++(?:[-_/][a-z]++)++",
+    "[-=_+/]+",
+)
 
 
 #: Entries of one chunk of an array: sums and searches go through chunks first, so that no text costs the square of its matches.
@@ -105,6 +110,19 @@ def _class(candidate: Column) -> Column:
     )
 
 
+def _allowed(candidate: Column) -> Column:
+    """Whether a candidate is on the allow-list. Time is in proportion to its length."""
+    plain = F.lower(candidate)
+
+    def ordered(order: str) -> Column:
+        # the candidate is what stands at its first letter in the order, repeated often enough
+        rounds = F.repeat(F.lit(order), F.floor(F.length(candidate) / len(order)).cast("int") + 2)
+        return plain == F.substr(rounds, F.instr(F.lit(order), F.substring(plain, 1, 1)), F.length(candidate))
+
+    listed = candidate.rlike("^(?:" + "|".join(ALLOWED) + ")$") | (candidate.rlike("^[A-Za-z0-9]+$") & candidate.contains("EXAMPLE"))
+    return listed | (candidate.rlike("^[A-Za-z]+$") & reduce(or_, map(ordered, ORDERS)))
+
+
 def _log(count: Column) -> Column:
     return F.when(count > 0, count * F.log2(count)).otherwise(0.0)
 
@@ -115,7 +133,11 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     One character comes in and one goes out at a step; only their two counts
     and the sum of count * log2(count) change.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+    # named once: an expression of the candidate would be computed again for every character
+    return _let(F.transform(F.split(candidate, ""), lambda c: F.ascii(c)), lambda codes: _highest(codes, window))
+
+
+def _highest(codes: Column, window: int) -> Column:
     at = lambda counts, code: F.element_at(counts, code + 1)
 
     def put(counts: Column, code: Column, by: int) -> Column:
@@ -168,7 +190,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     walked, strings = _matches(text, CANDIDATE, "entropy")
     spot = F.zip_with(walked, strings, lambda span, x: F.struct(span.alias("span"), x.alias("string")))
     least = F.create_map(*(F.lit(x) for pair in LEAST.items() for x in pair))
-    random = lambda r: ~r["string"].rlike(ALLOWED) & (window_entropy(r["string"]) >= F.element_at(least, _class(r["string"])))
+    random = lambda r: ~_allowed(r["string"]) & (window_entropy(r["string"]) >= F.element_at(least, _class(r["string"])))
     free = lambda chunked: F.filter(spot, lambda r: ~F.exists(chunked, lambda chunks: _covered(r["span"], chunks)))
     rows = docs.withColumn(base, kinds)
     found = F.transform(F.filter(_let(F.transform(base, _chunks), free), random), lambda r: r["span"])
