@@ -27,15 +27,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(doc_id, text, label) of at most ``per_class`` rows of either class, in an order that only their ids fix.
 
     ids come from the labels alone, so no text is shuffled: what is broadcast
-    has at most 2 * per_class rows. Texts over ``most_chars`` and rows without
-    text or label are not learnt from.
+    has at most 2 * per_class rows, and as many come to the driver. Texts over
+    ``most_chars`` and rows without text or label are not learnt from; of rows
+    that share a doc_id the one with the least text is.
     """
     known = labels.filter(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("order", F.xxhash64("doc_id"))
     ids = [known.filter(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))
     found = docs.select("doc_id", "text").filter(F.length("text").between(1, most_chars)).join(chosen, "doc_id")
-    return found.toPandas().drop_duplicates("doc_id").sort_values(["order", "doc_id"]).reset_index(drop=True)
+    found = found.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "order")
+    return found.toPandas().sort_values(["order", "doc_id"]).reset_index(drop=True)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.05, rounds: int = 100) -> np.ndarray:

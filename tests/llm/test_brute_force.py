@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from panelweave.llm import decontaminate, licenses, mixing, quality, secret_scan, token_counts, vector_search
-from panelweave.llm.common import held_out
+from panelweave.llm.common import held_out, labelled_sample
 from tests.llm.test_near_dedup import brute as near_classes
 from tests.llm.test_operators import base_spans, fill
 
@@ -303,6 +303,31 @@ def test_vectors_in_many_batches(spark):
         assert got == sorted(want)
 
 
+def test_ids_with_two_vectors(spark):
+    """Rows that share an id are queries, and candidates, by vector."""
+    rng = np.random.default_rng(9)
+    vectors = [(int(i), rng.normal(size=6).tolist()) for i in [1, 1, 2, 3, 50, 50, 50, 100, 100, 7, 8, 9, 9, 10]]
+    vectors += [vectors[0], vectors[4]]
+    ints = vector_search.integer_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    rows = sorted({(r["vec_id"], tuple(r["x"])) for r in ints.collect()})
+    want = []
+    for q, x in rows:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    for batch in (1, 16):
+        got = vector_search.top_k(ints, ints.filter("vec_id % 50 = 0"), k=5, bits=3, batch=batch).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_labelled_sample_of_repeated_ids(spark):
+    """A labelled id that stands in many rows comes to the driver once, with its least text."""
+    docs = spark.createDataFrame([(1, t) for t in ("b", "a", "c")] * 50 + [(2, "x"), (3, "y")], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 10, 100, F.lit(True))
+    assert sorted(got[["doc_id", "text", "label"]].itertuples(index=False, name=None)) == [(1, "a", 1), (2, "x", 0)]
+
+
 # --- pipeline --------------------------------------------------------------
 
 
