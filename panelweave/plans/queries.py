@@ -337,8 +337,8 @@ def direct_references(spark, d):
 @query(f"""WITH {_PARTS} SELECT least(a.record_key, b.record_key) AS left_key, greatest(a.record_key, b.record_key) AS right_key, round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) AS jaccard, round(len(list_intersect(a.tokens, b.tokens)) / least(len(a.tokens), len(b.tokens)), 6) AS containment
 FROM tok a JOIN tok b ON a.entity = b.entity AND a.period = b.period AND a.source <> b.source AND a.ordinal < b.ordinal WHERE len(list_intersect(a.tokens, b.tokens)) > 0""")
 def title_overlap(spark, d):
-    pairs = matching.blocked_pairs(part_records(spark, d))
-    jaccard, containment = matching.overlap_scores(F.col("first_tokens"), F.col("second_tokens"))
+    pairs = matching.blocked_pairs(matching.titled(part_records(spark, d)))
+    jaccard, containment = matching.overlap_of_counts()
     return pairs.select("left_key", "right_key", F.round(jaccard, 6).alias("jaccard"), F.round(containment, 6).alias("containment"))
 
 

@@ -45,7 +45,8 @@ def test_labels(spark):
 
 def scores(spark, left, right):
     rows = [record("a:1", left, 1), record("b:1", right, 2)]
-    return [r["similarity"] for r in matching.similarity(matching.blocked_pairs(spark.createDataFrame(rows, RECORD))).collect()]
+    titles = matching.titled(spark.createDataFrame(rows, RECORD))
+    return [r["similarity"] for r in matching.similarity(matching.blocked_pairs(titles), titles).collect()]
 
 
 def test_similarity(spark):
