@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelweave.functions.clean import lineage, stability_band
 from panelweave.operators.panel import money
+from panelweave.operators.ranges import middle_values, midpoint, placed, value_counts
+from panelweave.plans.storage import durable
 
 
 def describe(long: DataFrame) -> DataFrame:
@@ -73,15 +75,10 @@ def entity_summary(long: DataFrame) -> DataFrame:
     return out.withColumn("rank_within_metric", F.row_number().over(Window.partitionBy("metric").orderBy(F.col("total_value").desc(), "entity")))
 
 
-def average_rank(value: str, *within: str) -> Column:
-    """Rank from 1 with ties at their average, as a window expression."""
-    w = Window.partitionBy(*within)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*within, value)) - 1) / 2
-
-
-def guarded_corr(x: str, y: str) -> Column:
-    """Pearson's correlation, NULL where either side does not vary."""
-    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))))
+def average_ranks(rows: DataFrame, within: list[str], value: str) -> DataFrame:
+    """rows with average_rank: the rank of value from 1 within its group, ties at their average; NULL without a value."""
+    ranks = placed(value_counts(rows, within, value), within, value)
+    return rows.join(ranks.select(*within, value, (F.col("below") + (F.col("n") + 1) / 2).alias("average_rank")), [*within, value], "left")
 
 
 def metric_pairs(long: DataFrame) -> DataFrame:
@@ -106,10 +103,46 @@ def correlation_points(long: DataFrame, least_cells: int = 15, least_entities: i
     return points.join(enough.select("scope", *keys), ["scope", *keys], "left_semi")
 
 
+def ranked_cells(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct points (keys, x, y) with how often they occur (w), their shared cells, and per side the points below, beside and above.
+
+    Written, since both correlations read it.
+    """
+    cells = durable(points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"), F.sum("shared").alias("shared")), "cells")
+    side = lambda v: placed(cells.groupBy(*keys, v).agg(F.sum("w").alias("n")), keys, v).select(*keys, v, *(F.col(c).alias(f"{c}_{v}") for c in ("below", "n", "above")))
+    return durable(cells.join(side("x"), [*keys, "x"]).join(side("y"), [*keys, "y"]), "ranked-cells")
+
+
+def _spearman(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    # twice an average rank less twice the mean of all ranks is the points below less the points above
+    dx, dy = ((F.col(f"below_{v}") - F.col(f"above_{v}")).cast("double") for v in "xy")
+    total = lambda c: F.sum(F.col("w") * c)
+    rho = F.try_divide(total(dx * dy), F.sqrt(total(dx * dx)) * F.sqrt(total(dy * dy)))
+    return ranked.groupBy(*keys).agg(F.sum("w").alias("paired_observations"), F.sum("shared").alias("shared_cells"), F.round(rho, 6).alias("spearman_rho"))
+
+
 def spearman(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Spearman's rho: Pearson's correlation of average ranks."""
-    ranked = points.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
-    return ranked.groupBy(*keys).agg(F.count("*").alias("paired_observations"), F.sum("shared").alias("shared_cells"), F.round(guarded_corr("rx", "ry"), 6).alias("spearman_rho"))
+    """Spearman's rho: Pearson's correlation of average ranks; NULL where a side does not vary."""
+    return _spearman(ranked_cells(points, keys), keys)
+
+
+def _kendall(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    size = F.col("below_y") + F.col("n_y") + F.col("above_y")
+    levels = ranked.select(*keys, "below_x", "below_y", "w", F.explode(F.sequence(F.lit(0), F.length(F.bin(size)) - 1)).alias("bit"))
+    levels = levels.select(*keys, "below_x", "w", "bit", F.expr("shiftright(below_y, bit + 1)").alias("higher"), (F.expr("shiftright(below_y, bit)") % 2 == 1).alias("is_set"))
+    group = [*keys, "bit", "higher"]
+    count = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+    steps = levels.groupBy(*group, "below_x").agg(count(F.col("is_set")).alias("n"), count(~F.col("is_set")).alias("rest"))
+    discordant = placed(steps, group, "below_x").groupBy(*keys).agg(F.sum(F.col("rest") * F.col("below")).cast("double").alias("d"))
+
+    # a point is beside n - 1 others of its value, and each pair is met twice
+    pairs = lambda n: (F.sum(F.col("w") * (n - 1)) / 2)
+    counts = ranked.groupBy(*keys).agg(pairs(size).alias("all_pairs"), pairs(F.col("n_x")).alias("x_pairs"), pairs(F.col("n_y")).alias("y_pairs"), pairs(F.col("w")).alias("both_pairs")).join(discordant, keys)
+    # without ties in x (in y): what tau-b divides by
+    free_x, free_y = F.col("all_pairs") - F.col("x_pairs"), F.col("all_pairs") - F.col("y_pairs")
+    c = F.col("all_pairs") - F.col("x_pairs") - F.col("y_pairs") + F.col("both_pairs") - F.col("d")
+    scale = F.sqrt(free_x * free_y)
+    return counts.select(*keys, F.round(F.when(scale > 0, (c - F.col("d")) / scale), 6).alias("kendall_tau_b"))
 
 
 def kendall(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,36 +150,18 @@ def kendall(points: DataFrame, keys: list[str]) -> DataFrame:
 
     Two ranks of y differ first in some bit. Among points that agree in all
     higher bits, one with the bit and a smaller x is discordant with one
-    without it, so a running sum over x counts the discordant pairs of each
-    bit. Pairs tied in x or y come from group sizes; concordant ones are left.
+    without it, so running counts over x, made in ranges, give the discordant
+    pairs of each bit. Pairs tied in x or y come from group sizes; concordant
+    ones are left.
     """
-    cells = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
-    within = Window.partitionBy(*keys)
-    ranked = cells.withColumns({"rx": F.dense_rank().over(within.orderBy("x")), "ry": F.dense_rank().over(within.orderBy("y"))}).withColumn("bits", F.length(F.bin(F.max("ry").over(within))))
-    levels = ranked.select(*keys, "rx", "ry", "w", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
-    levels = levels.select(*keys, "rx", "w", "bit", F.expr("shiftright(ry, bit + 1)").alias("above"), (F.expr("shiftright(ry, bit)") % 2 == 1).alias("is_set"))
-    smaller = Window.partitionBy(*keys, "bit", "above").orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
-    passed = levels.withColumn("passed", F.coalesce(F.sum(F.when(F.col("is_set"), F.col("w"))).over(smaller), F.lit(0)))
-    discordant = passed.groupBy(*keys).agg(F.sum(F.when(~F.col("is_set"), F.col("w") * F.col("passed")).otherwise(0)).cast("double").alias("d"))
-
-    none = F.lit(None).cast("double")
-    kinds = [("all", none, none), ("x", F.col("x"), none), ("y", none, F.col("y")), ("both", F.col("x"), F.col("y"))]
-    tied = cells.select(*keys, "w", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y")) for k, x, y in kinds))).alias("t"))
-    sizes = tied.groupBy(*keys, "t").agg(F.sum("w").cast("double").alias("n"))
-    pairs = sizes.groupBy(*keys).agg(*(F.sum(F.when(F.col("t.kind") == k, F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0)).alias(f"{k}_pairs") for k, _, _ in kinds))
-    counts = pairs.join(discordant, keys)
-    # without ties in x (in y): what tau-b divides by
-    free_x, free_y = F.col("all_pairs") - F.col("x_pairs"), F.col("all_pairs") - F.col("y_pairs")
-    c = F.col("all_pairs") - F.col("x_pairs") - F.col("y_pairs") + F.col("both_pairs") - F.col("d")
-    scale = F.sqrt(free_x * free_y)
-    return counts.select(*keys, F.round(F.when(scale > 0, (c - F.col("d")) / scale), 6).alias("kendall_tau_b"))
+    return _kendall(ranked_cells(points, keys), keys)
 
 
 def correlations(long: DataFrame) -> DataFrame:
     """Rank correlations of every metric pair in both scopes."""
     keys = ["scope", "left_metric", "right_metric"]
-    points = correlation_points(long)
-    return spearman(points, keys).join(kendall(points, keys), keys, "left")
+    ranked = ranked_cells(correlation_points(long), keys)
+    return _spearman(ranked, keys).join(_kendall(ranked, keys), keys, "left")
 
 
 def robustness(baseline: DataFrame, robust: DataFrame) -> DataFrame:
@@ -169,9 +184,14 @@ def outliers(records: DataFrame, group: list[str], value: str = "amount", least:
     method. Nothing is deleted.
     """
     x = F.col(value)
-    positive = records.filter(x > 0).withColumn("lg", F.log10(x))
-    centre = positive.groupBy(*group).agg(F.count("*").alias("group_count"), F.median("lg").alias("centre"), F.median(value).alias("group_median"))
-    spread = positive.join(centre, group).groupBy(*group).agg(F.median(F.abs(F.col("lg") - F.col("centre"))).alias("mad"))
+    counts = durable(value_counts(records.filter(x > 0), group, value), "positive-values")
+    # the logarithm keeps the order, so the middle values give both medians
+    centre = middle_values(counts, group, value).select(
+        *group, F.col("n").alias("group_count"), midpoint(F.log10("low"), F.log10("high")).alias("centre"), midpoint(F.col("low"), F.col("high")).alias("group_median")
+    )
+    centre = durable(centre, "centres")
+    apart = counts.join(centre, group).groupBy(*group, F.abs(F.log10(x) - F.col("centre")).alias("apart")).agg(F.sum("n").alias("n"))
+    spread = middle_values(apart, group, "apart").select(*group, midpoint(F.col("low"), F.col("high")).alias("mad"))
     stats = centre.join(spread, group)
     z = F.round(0.6745 * (F.log10(x) - F.col("centre")) / F.col("mad"), 4)
     judged = records.join(stats, group, "left").withColumn("robust_z", F.when((x > 0) & (F.col("group_count") >= least) & (F.col("mad") > 0), z))
@@ -193,8 +213,5 @@ def source_quality(records: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def upper_medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, upper_median): the element at floor(n / 2) of the sorted values, from counts of each distinct value."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*group)
-    run = counts.withColumns({"upto": F.sum("n").over(w.orderBy(value)), "half": F.floor(F.sum("n").over(w) / 2)})
-    return run.filter((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select(*group, F.col(value).alias("upper_median"))
+    """(group, upper_median): the element at floor(n / 2) of the sorted values."""
+    return middle_values(value_counts(rows, group, value), group, value).select(*group, F.col("high").alias("upper_median"))

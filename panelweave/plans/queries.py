@@ -185,7 +185,7 @@ def amount_outliers(spark, d):
 
 @query("SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS average_rank FROM part")
 def average_ranks(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_brand", stats.average_rank("p_size", "p_brand").alias("average_rank"))
+    return stats.average_ranks(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size").drop("p_size")
 
 
 CORR = """pr AS (SELECT l.metric AS left_metric, r.metric AS right_metric, l.entity, l.period, l.value AS x, r.value AS y FROM {m} l JOIN {m} r ON l.entity = r.entity AND l.period = r.period AND l.metric < r.metric WHERE l.value IS NOT NULL AND r.value IS NOT NULL),
