@@ -43,13 +43,39 @@ def first_filled(*cells: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cells))
 
 
+def round_half_even(value: Column, places: int) -> Column:
+    """A double rounded to decimal places by its exact binary value, halves to the even digit: 2.675 gives 2.67, 0.125 gives 0.12.
+
+    x times a power of ten is not exact in doubles, but its error is: halves of
+    26 bits multiply without one. So the distance to half is known with its
+    sign. From 2 ** 53 units of the last place on, doubles are no finer than
+    the places and stay.
+    """
+    scale = float(10**places)
+    x = F.abs(value.cast("double"))
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        wide = v * float(2**27 + 1)
+        high = wide - (wide - v)
+        return high, v - high
+
+    (a, b), (c, d) = halves(x), halves(F.lit(scale))
+    product = x * scale
+    error = ((a * c - product) + a * d + b * c) + b * d
+    whole = F.floor(product)
+    over = (product - whole.cast("double") - 0.5) + error
+    units = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    near = F.when(product < float(2**52), units.cast("double") / scale).when(product < float(2**53), product / scale).otherwise(x)
+    return F.when(value.cast("double") < 0, -near).otherwise(near)
+
+
 def amount(value: Column, multiplier: float = 1.0) -> Column:
-    return F.round(value * multiplier, 6)
+    return round_half_even(value * multiplier, 6)
 
 
 def comparable_ratio(left: Column, right: Column, comparable: Column) -> Column:
     """left / right to 6 places where both are known, comparable, and right is not zero."""
-    return F.when(comparable & (right != 0), F.round(F.try_divide(left, right), 6))
+    return F.when(comparable & (right != 0), round_half_even(F.try_divide(left, right), 6))
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

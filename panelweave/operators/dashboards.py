@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,10 +51,15 @@ def catalogue_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.max("countries"), F.lit(0)).alias("most_countries"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
+def entity_order(mode: str = "records") -> list[Column]:
+    """Sort keys of a mode: records, sources (then records) or name (by Unicode rules, so accents stand beside their letters); ties by entity."""
+    modes = {"records": [F.col("records").desc()], "sources": [F.col("source_count").desc(), F.col("records").desc()], "name": [F.collate("entity", "UNICODE")]}
+    return [*modes[mode], F.col("entity")]
+
+
 def rank_entities(overview: DataFrame, mode: str = "records") -> DataFrame:
-    """overview in the order of a sort mode: records, sources (then records) or name (by Unicode rules); ties by entity."""
-    order = {"records": [F.col("records").desc()], "sources": [F.col("source_count").desc(), F.col("records").desc()], "name": [F.collate("entity", "UNICODE")]}[mode]
-    return overview.orderBy(*order, "entity")
+    """overview in the order of a sort mode."""
+    return overview.orderBy(*entity_order(mode))
 
 
 def covered_entities(records: DataFrame, first: int, last: int) -> DataFrame:

@@ -474,6 +474,25 @@ def source_findings(spark, d):
     return dashboards.findings(records(spark, d))
 
 
+_TIES = "1 + (p_partkey * 5 % 1000003) / 1000.0 AS thousandths, 1 + (p_partkey % 1000) / 8.0 AS eighths"
+
+
+def _half_even(x: str, places: int) -> str:
+    """Rounding of a double from 1 to 2 ** 10 on its bits: times 2 ** 52 it is a whole number."""
+    one = "CAST(4503599627370496 AS HUGEINT)"
+    bits = f"(CAST({x} * 4503599627370496 AS HUGEINT) * {10**places})"
+    return f"CAST({bits} // {one} + CASE WHEN {bits} % {one} > {one} // 2 OR ({bits} % {one} = {one} // 2 AND ({bits} // {one}) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / {10**places}.0"
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_TIES} FROM part) SELECT p_partkey, {_half_even('thousandths', 2)} AS to_two, {_half_even('thousandths', 3)} AS to_three, {_half_even('eighths', 2)} AS eighths_to_two, {_half_even('eighths', 0)} AS eighths_to_none FROM t WHERE thousandths < 1000")
+def half_even_rounding(spark, d):
+    """Values whose decimal text often ends in a half."""
+    k = F.col("p_partkey")
+    t = table(spark, d, "part").select("p_partkey", (1 + (k * 5 % 1000003).cast("double") / 1000.0).alias("thousandths"), (1 + (k % 1000).cast("double") / 8.0).alias("eighths")).filter("thousandths < 1000")
+    to = lambda c, places: C.round_half_even(F.col(c), places)
+    return t.select("p_partkey", to("thousandths", 2).alias("to_two"), to("thousandths", 3).alias("to_three"), to("eighths", 2).alias("eighths_to_two"), to("eighths", 0).alias("eighths_to_none"))
+
+
 @query("SELECT p_brand, list_sort(list(p_size))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median FROM part GROUP BY p_brand")
 def upper_medians(spark, d):
     return stats.upper_medians(table(spark, d, "part"), ["p_brand"], "p_size")

@@ -214,9 +214,15 @@ _DICTIONARY = {
     "project_entity_index": ["project_entity_id", "member_count"],
     "panel_missingness": ["missing_rate", "panel_rows", "first_observed_year"],
 }
+#: Tables that stand for published ones, with the columns that they have.
+_PUBLISHED = {"project_level_master": "orders", "long_fundtype": "lineitem", "match_review_queue": "supplier", "confirmed_match_groups": "events"}
+_FOUND = " UNION ALL ".join(f"SELECT '{name}' AS \"table\", column_name AS column_ FROM (DESCRIBE SELECT * FROM {t})" for name, t in _PUBLISHED.items())
+_MODULE = "CASE \"table\" WHEN 'project_level_master' THEN '项目级' WHEN 'long_fundtype' THEN '长面板' WHEN 'match_review_queue' THEN '项目匹配' ELSE '项目实体' END"
 
 
-@query("""SELECT * FROM (VALUES
+@query(f"""SELECT "table", column_ AS "column", {_MODULE} AS module, replace(column_, '_', ' ') AS description, CASE WHEN column_ LIKE '%year%' AND "table" <> 'project_level_master' THEN 'year' ELSE 'source-specific' END AS unit, '' AS key_role,
+  CASE WHEN "table" = 'project_level_master' THEN 'source_missing_preserved; zero_is_observed' ELSE 'blank_when_not_observed; zero_is_observed' END AS missing_rule FROM ({_FOUND})
+UNION ALL SELECT * FROM (VALUES
  ('master_panel_wide', 'iso3', '索引', 'ISO3 country code', 'text', 'composite_primary_key', 'not_missing'), ('master_panel_wide', 'year', '索引', 'Calendar year, restricted to 2000-2024', 'integer', 'composite_primary_key', 'not_missing'),
  ('master_panel_wide', 'cgp_capacity_mw', '特殊量纲', 'CGP generating-unit capacity assigned to financing year; commissioning year is fallback', 'MW', '', 'blank_when_not_observed; zero_is_observed'),
  ('master_panel_wide', 'aiddata_count', '记录与质量', 'Record or known-value count for aiddata', 'count', '', 'blank_when_not_observed; zero_is_observed'),
@@ -232,7 +238,10 @@ _DICTIONARY = {
  ('panel_missingness', 'panel_rows', '质量诊断', 'panel rows', 'count', '', 'blank_when_not_observed; zero_is_observed'), ('panel_missingness', 'first_observed_year', '质量诊断', 'first observed year', 'year', '', 'blank_when_not_observed; zero_is_observed'))
  t("table", "column", module, description, unit, key_role, missing_rule)""")
 def dictionary(spark, d):
-    return files.data_dictionary(spark, _DICTIONARY).drop("position")
+    tables = {k: list(v) for k, v in _DICTIONARY.items()}
+    for name, t in _PUBLISHED.items():
+        tables.setdefault(name, []).extend(table(spark, d, t).columns)
+    return files.data_dictionary(spark, tables).drop("position")
 
 
 @query("""WITH st AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'human_confirmed' WHEN c_custkey % 5 = 0 THEN 'direct_reference' ELSE 'unmatched' END AS st FROM customer),

@@ -1,14 +1,17 @@
-"""Panels, statistics, breaks, sources and the stream on small rows."""
+"""Panels, statistics, breaks and sources on small rows."""
 
+import itertools
 import math
 import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import breaks, panel, stats
+from panelweave.functions import clean
+from panelweave.operators import breaks, dashboards, panel, stats
 from panelweave.sources import adapters, files
-from panelweave.streaming.cells import windowed_cells
 
 REC = "entity string, period int, source string, fund string, amount double"
 
@@ -126,10 +129,84 @@ def test_sinks(spark, tmp_path):
     assert [r["iso3"] for r in files.read_features(spark, str(tmp_path / "g.json")).collect()] == ["SOL"]
 
 
-def test_stream(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.write.parquet(str(tmp_path / "in"))
-    cells = windowed_cells(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
-    run = cells.writeStream.format("memory").queryName("cells").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert spark.table("cells").agg(F.sum("record_count")).first()[0] == events.count()
+def test_rounding_is_that_of_the_binary_value(spark):
+    rng = random.Random(8)
+    values = [2.675, 0.125, 0.375, 2.5, 0.5, 1.5, 1.005, -2.675, 0.0, 1e15 + 0.3, 4503599627370497.5, 1e300, 123456.7890125, 8.5, -0.5]
+    values += [rng.randrange(10**7) / 10**5 for _ in range(500)] + [rng.random() * 10 ** rng.randrange(-6, 14) for _ in range(500)] + [rng.randrange(10**6) / 64 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for places in (0, 2, 4, 6):
+        got = [r[0] for r in df.select(clean.round_half_even(F.col("v"), places)).collect()]
+        assert got == [round(v, places) for v in values] + [None]
+
+
+def test_names_with_accents_stand_beside_their_letters(spark):
+    names = ["Zambia", "Égypte", "Eritrea", "Côte d'Ivoire", "Cuba", "Comoros", "egret", "Ethiopia"]
+    df = spark.createDataFrame([(n, 1, 1) for n in names], "entity string, records int, source_count int")
+    assert [r["entity"] for r in dashboards.rank_entities(df, "name").collect()] == ["Comoros", "Côte d'Ivoire", "Cuba", "egret", "Égypte", "Eritrea", "Ethiopia", "Zambia"]
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small shuffles keep their partitions, so that a group of a test spans several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_group_that_spans_all_ranges(spark, many_ranges):
+    """200,000 points of one group: ranks, tau and medians against plain counts."""
+    n = 200_000
+    x, y = [k * 7919 % 50021 for k in range(n)], [(k * k + k * 3) % 9973 for k in range(n)]
+    points = spark.range(n, numPartitions=8).selectExpr("'g' k", "string(id) point", "double(id * 7919 % 50021) x", "double((id * id + id * 3) % 9973) y", "1 shared")
+    points = points.unionByName(points.limit(1).selectExpr("'h' k", "point", "x", "y", "shared"))
+    ranges = points.groupBy("k", "x").agg(F.count("*").alias("n")).repartitionByRange("k", "x").select("k", F.spark_partition_id().alias("p")).distinct().filter("k = 'g'").count()
+    assert ranges > 1  # the group is more than one task
+    tree, seen, swaps = [0] * 9974, 0, 0
+    for _, same in itertools.groupby(sorted(zip(x, y)), key=lambda p: p[0]):
+        same = [b for _, b in same]
+        for b in same:  # larger y at smaller x
+            k, upto = b + 1, 0
+            while k:
+                upto, k = upto + tree[k], k & (k - 1)
+            swaps += seen - upto
+        for b in same:
+            k, seen = b + 1, seen + 1
+            while k < len(tree):
+                tree[k], k = tree[k] + 1, k + (k & -k)
+    pairs = lambda rows: sum(c * (c - 1) // 2 for c in Counter(rows).values())
+    every, tx, ty, both = n * (n - 1) // 2, pairs(x), pairs(y), pairs(zip(x, y))
+    want = (every - tx - ty + both - 2 * swaps) / math.sqrt((every - tx) * (every - ty))
+    got = {r["k"]: r for r in stats.kendall(points, ["k"]).collect()}
+    assert got["g"]["kendall_tau_b"] == pytest.approx(want, abs=1e-6)
+    rho = {r["k"]: (r["paired_observations"], r["spearman_rho"]) for r in stats.spearman(points, ["k"]).collect()}
+    places = {v: i for i, v in reversed(list(enumerate(sorted(x))))}, {v: i for i, v in reversed(list(enumerate(sorted(y))))}
+    (px, cx), (py, cy) = zip(places, (Counter(x), Counter(y)))
+    rank = [(px[a] + (cx[a] - 1) / 2 - (n - 1) / 2, py[b] + (cy[b] - 1) / 2 - (n - 1) / 2) for a, b in zip(x, y)]
+    assert rho["g"] == (n, pytest.approx(sum(a * b for a, b in rank) / math.sqrt(sum(a * a for a, _ in rank) * sum(b * b for _, b in rank)), abs=1e-6)) and rho["h"] == (1, None)
+    assert {r["k"]: r["upper_median"] for r in stats.upper_medians(points, ["k"], "x").collect()}["g"] == sorted(x)[n // 2]
+
+
+def test_outliers_of_one_hot_group(spark, many_ranges):
+    """Medians and deviations of a group with most rows, and of a small and an even one, against plain ones."""
+    rows = spark.range(60_001, numPartitions=6).selectExpr("CASE WHEN id % 1000 < 996 THEN 'hot' WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END g", "id", "CASE WHEN id % 5003 = 0 THEN 1e12 WHEN id % 7001 = 0 THEN -1.0D ELSE double(1000 + id * 31 % 997) END amount")
+    plain: dict[str, list] = {}
+    data = rows.collect()
+    for r in data:
+        plain.setdefault(r["g"], []).append(r["amount"])
+    want = {}
+    for r in data:
+        if r["g"] not in want:
+            values = [v for v in plain[r["g"]] if v > 0]
+            logs = [math.log10(v) for v in values]
+            want[r["g"]] = (statistics.median(logs), None, statistics.median(values), len(values))
+    for g, (centre, _, middle, size) in want.items():
+        want[g] = (centre, statistics.median(abs(math.log10(v) - centre) for v in plain[g] if v > 0), middle, size)
+    expected = {}
+    for r in data:
+        centre, mad, middle, size = want[r["g"]]
+        if r["amount"] <= 0:
+            expected[r["id"]] = ("nonpositive_amount", middle, size)
+        elif abs(round(0.6745 * (math.log10(r["amount"]) - centre) / mad, 4)) > 3.5:
+            expected[r["id"]] = ("source_measure_log_mad", middle, size)
+    got = {r["id"]: (r["method"], r["group_median"], r["group_count"]) for r in stats.outliers(rows, ["g"]).collect()}
+    assert got == expected and len(got) > 15
