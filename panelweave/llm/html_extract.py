@@ -28,6 +28,9 @@ from panelweave.plans.storage import durable
 #: Names of elements.
 SILENT = frozenset("script style noscript template head title iframe canvas audio video select textarea button datalist".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Elements around a whole page, or left open before an article, so that an article inside may be the page's own.
+AROUND = frozenset("form nav".split())
+HEAD = frozenset("base link meta title style script noscript template".split())
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("div section ul ol dl table header figure center details".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -39,17 +42,19 @@ MARKS = frozenset(
     "share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search signup login disqus".split()
 )
 #: Words that may stand beside a mark in a name that is a mark as a whole.
-BESIDE = frozenset("area bar block body box buttons container content group inner item items left links list outer page posts reader readers right section site stories top bottom main user users wrap wrapper".split())
+BESIDE = frozenset("area bar block body box buttons container content group inner item items left links list outer page posts reader readers right section site stories thread threads top bottom main user users wrap wrapper".split())
+#: Marks that the picture at the head of an article bears too.
+PICTURE = frozenset("banner header".split())
 KEEP, DROP, OPEN, UNSURE = 1, -1, 0, 2
 #: Share of a page's characters from which on another page counts as a copy of it.
 COPY = 0.8
 
 
-def marked(value: str) -> bool:
+def marked(value: str, but: frozenset = frozenset()) -> bool:
     """Whether one of the names of an attribute is made of marks alone, or of marks and words that go with them."""
     for name in value.lower().split():
         parts = set(re.split(r"[^a-z]+", name)) - {""}
-        if parts & MARKS and parts <= MARKS | BESIDE:
+        if parts & (MARKS - but) and parts <= MARKS | BESIDE:
             return True
     return False
 
@@ -57,8 +62,9 @@ def marked(value: str) -> bool:
 class _Lines(HTMLParser):
     """(text, role) of the blocks of a page, in order.
 
-    An article inside an element that only its name marks is UNSURE: it counts
-    if the page has no other.
+    An article inside an element that only its name marks, inside a form or
+    inside a menu that never ends is UNSURE: it counts if the page has no other.
+    What cannot stand in a head ends it.
     """
 
     def __init__(self):
@@ -68,6 +74,12 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # element, role, silent
         self.unsure = 0  # number of the UNSURE article that is open, or of the last one
         self.numbers: list[int] = []
+        self.menus: list[int] = []  # unsure at the start of each open nav
+        self.refused: set[int] = set()  # UNSURE articles in menus that ended
+
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.stack.pop()
 
     def _state(self) -> tuple[int, bool]:
         return self.stack[-1][1:] if self.stack else (OPEN, False)
@@ -80,6 +92,8 @@ class _Lines(HTMLParser):
             self.numbers.append(self.unsure)
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._end_head()
         if tag not in INLINE:
             self._cut()
         if tag in VOID:
@@ -88,9 +102,10 @@ class _Lines(HTMLParser):
         if tag == "p" and self.stack and self.stack[-1][0] == "p":
             self.stack.pop()
             role, silent = self._state()
-        named = any(v and marked(v) for k, v in attrs if k in ("class", "id", "role"))
         inside = role in (KEEP, UNSURE)
-        structural = any(name in BOILERPLATE for name, _, _ in self.stack)
+        spared = PICTURE if inside and tag == "figure" else frozenset()
+        named = any(v and marked(v, spared) for k, v in attrs if k in ("class", "id", "role"))
+        structural = any(name in BOILERPLATE - AROUND for name, _, _ in self.stack)
         if tag in BOILERPLATE or (tag == "header" and not inside):
             role = DROP
         elif tag in CONTENT:
@@ -104,6 +119,8 @@ class _Lines(HTMLParser):
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
         if role != self._state()[0]:
             self._cut()
+        if tag == "nav":
+            self.menus.append(self.unsure)
         self.stack.append((tag, role, silent or hidden or tag in SILENT))
 
     def handle_endtag(self, tag):
@@ -117,16 +134,20 @@ class _Lines(HTMLParser):
             return
         if tag not in INLINE or any(name not in INLINE for name, _, _ in self.stack[at:]) or self.stack[at][1] != (self.stack[at - 1][1] if at else OPEN):
             self._cut()
+        if tag == "nav" and self.menus:
+            self.refused.update(range(self.menus.pop() + 1, self.unsure + 1))
         del self.stack[at:]
 
     def handle_data(self, data):
+        if not data.isspace():
+            self._end_head()
         if not self._state()[1]:
             self.words.append(data)
 
     def finished(self) -> list[tuple[str, int]]:
         self._cut()
         sure = any(role == KEEP for _, role in self.lines)
-        first = min((n for (_, role), n in zip(self.lines, self.numbers) if role == UNSURE), default=0)
+        first = min((n for (_, role), n in zip(self.lines, self.numbers) if role == UNSURE and n not in self.refused), default=0)
         return [(t, role if role != UNSURE else KEEP if not sure and n == first else DROP) for (t, role), n in zip(self.lines, self.numbers)]
 
 

@@ -47,6 +47,17 @@ def test_differencing_alone_removes_the_template(spark):
         ("<aside><article>Teaser</article></aside><main>Text</main>", "Text"),
         ('<main>Text <article class="comment">C</article></main>', "Text"),
         ("<article>a<p>b</p>c", "a b c"),
+        ("<html><head><title>T</title><meta charset=utf-8><body><nav>N</nav><article>Text</article>", "Text"),
+        ("<html><head><title>T</title><script>s()</script><p>Text</p>", "Text"),
+        ("<head><title>T</title></head><p>Text</p>", "Text"),
+        ("<head><title>T</title>Text", "Text"),
+        ('<body><form id="aspnetForm"><input name="v"><nav>N</nav><article><p>Text</p></article><footer>F</footer></form></body>', "Text"),
+        ("<form>Search <article>A</article></form><article>Text</article>", "Text"),
+        ("<body><nav><ul><li>N</li></ul><article><p>Text</p></article></body>", "Text"),
+        ("<body><nav>N<article>Teaser</article></nav><div>Text</div></body>", "Text"),
+        ("<body><nav>N<article>Teaser</article></nav><nav>M<article>Text</article></body>", "Text"),
+        ('<article><figure class="banner"><figcaption>Seen</figcaption></figure><figure class="ad">A</figure>Text</article>', "Seen Text"),
+        ('<article>Text</article><div class="comment-thread"><p>C</p></div>', "Text"),
     ],
 )
 def test_names(spark, html, want):
