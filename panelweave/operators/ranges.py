@@ -9,16 +9,22 @@ from pyspark.sql.window import Window
 from panelweave.plans.storage import durable
 
 
+def in_ranges(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """counts cut into ranges of (keys, order) that are about equally long, so a group may span many of them; ``__range`` numbers them.
+
+    The cut is written, so that a lost executor cannot move it between its uses.
+    """
+    return durable(counts.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
 def placed(counts: DataFrame, keys: list[str], order: str, n: str = "n") -> DataFrame:
     """counts, one row a group and value of order, with ``below`` and ``above``: sums of n over its smaller and larger values.
 
-    Rows are cut into ranges of (keys, order) that are about equally long, so a
-    group may span many of them. Sums inside a range need one task a range, and
-    what lies before and after it comes from sums a group and range. The cut is
-    written, so that a lost executor cannot move it between its uses. Keys are
-    not null; a null value of order comes first.
+    Sums inside a range need one task a range, and what lies before and after it
+    comes from sums a group and range. counts may be cut by in_ranges() already.
+    Keys are not null; a null value of order comes first.
     """
-    cut = durable(counts.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    cut = counts if "__range" in counts.columns else in_ranges(counts, keys, order)
     earlier = Window.unboundedPreceding, -1
     sums = cut.groupBy(*keys, "__range").agg(F.sum(n).alias("__n"))
     group = Window.partitionBy(*keys)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from panelweave.functions.clean import lineage, stability_band
 from panelweave.operators.panel import money
-from panelweave.operators.ranges import middle_values, midpoint, placed, value_counts
+from panelweave.operators.ranges import in_ranges, middle_values, midpoint, placed, value_counts
 from panelweave.plans.storage import durable
 
 
@@ -184,12 +184,11 @@ def outliers(records: DataFrame, group: list[str], value: str = "amount", least:
     method. Nothing is deleted.
     """
     x = F.col(value)
-    counts = durable(value_counts(records.filter(x > 0), group, value), "positive-values")
+    counts = in_ranges(value_counts(records.filter(x > 0), group, value), group, value)
     # the logarithm keeps the order, so the middle values give both medians
     centre = middle_values(counts, group, value).select(
         *group, F.col("n").alias("group_count"), midpoint(F.log10("low"), F.log10("high")).alias("centre"), midpoint(F.col("low"), F.col("high")).alias("group_median")
     )
-    centre = durable(centre, "centres")
     apart = counts.join(centre, group).groupBy(*group, F.abs(F.log10(x) - F.col("centre")).alias("apart")).agg(F.sum("n").alias("n"))
     spread = middle_values(apart, group, "apart").select(*group, midpoint(F.col("low"), F.col("high")).alias("mad"))
     stats = centre.join(spread, group)
