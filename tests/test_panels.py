@@ -1,5 +1,6 @@
 """Panels, statistics, breaks and sources on small rows."""
 
+import csv
 import itertools
 import math
 import random
@@ -145,6 +146,33 @@ def test_names_with_accents_stand_beside_their_letters(spark):
     assert [r["entity"] for r in dashboards.rank_entities(df, "name").collect()] == ["Comoros", "Côte d'Ivoire", "Cuba", "egret", "Égypte", "Eritrea", "Ethiopia", "Zambia"]
 
 
+def test_quoted_lines_over_many_ranges(spark, tmp_path):
+    """A file of records over several lines is read by several tasks: same rows as one reader, numbered in order."""
+    rng = random.Random(12)
+    cell = lambda: "".join(rng.choice(["a", "b,", '"', "\n", " ", "é", "\n\n", '""', "x" * 30, ""]) for _ in range(rng.randrange(12)))
+    data = [(str(k), cell(), cell()) for k in range(3000)]
+    with open(tmp_path / "t.csv", "w", encoding="utf-8", newline="") as f:
+        f.write("\ufeff")
+        out = csv.writer(f, lineterminator="\n")
+        out.writerows([("id", "one", "two\nlines"), *data[:2000]])
+        f.write("\n")
+        out.writerows(data[2000:])
+    path = str(tmp_path / "t.csv")
+    want = [(a, b or None, c or None) for a, b, c in data]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 10
+        df = files.read_csv_ranges(spark, path)
+        assert df.columns == ["id", "one", "two\nlines", "ordinal"]
+        got = [tuple(r) for r in df.orderBy("ordinal").collect()]
+        assert [r[:3] for r in got] == want and len({r[3] for r in got}) == len(want)
+        assert [tuple(r) for r in files.read_csv_ranges(spark, path, ["absent", "id"]).orderBy("ordinal").select("absent", "id").limit(2).collect()] == [(None, "0"), (None, "1")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.fixture
 def many_ranges(spark):
     """Small shuffles keep their partitions, so that a group of a test spans several ranges."""
