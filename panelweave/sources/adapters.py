@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.clean import amount, first_filled, fund_type, harmonize_sector, norm_text, parse_number, parse_year, stable_id, truthy
-from panelweave.sources.files import read_csv
+from panelweave.sources.files import read_csv, read_csv_ranges
 
 MILLION = 1_000_000.0
 #: Number of the row in its file, where there is one.
@@ -158,16 +158,18 @@ def cofi_records(raw: DataFrame, names: DataFrame) -> DataFrame:
     })
 
 
-def all_records(spark: SparkSession, folder: str) -> DataFrame:
+def all_records(spark: SparkSession, folder: str, ranges: bool = False) -> DataFrame:
     """Records of all nine sources, with ordinal as load order: by source, then by row of its file.
 
-    A file with cells of several lines is read in one piece, so the numbers of
-    its rows follow the file. A folder of part files stands for a file; then
-    rows are in order within each part.
+    Cells may have several lines, so a file is read in one piece, which suits
+    small ones, and a folder of part files has its rows in order within each
+    part. With ranges, for large files, each is read by many tasks, and rows are
+    in order over all parts; the records are the same.
     """
     names = entity_names(read_csv(spark, f"{folder}/fdi_africa_metadata.csv"))
     parts = []
     for rank, s in enumerate(SOURCES):
-        raw = read_csv(spark, f"{folder}/{s.file}").withColumn(ROW, F.monotonically_increasing_id())
+        path = f"{folder}/{s.file}"
+        raw = read_csv_ranges(spark, path, ordinal=ROW) if ranges else read_csv(spark, path).withColumn(ROW, F.monotonically_increasing_id())
         parts.append((cofi_records if s.name == "cofi" else partial(records_of, s=s))(raw, names=names).withColumn("ordinal", F.lit(rank) * F.lit(1 << 56) + F.col("ordinal")))
     return reduce(DataFrame.unionByName, parts)

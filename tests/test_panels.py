@@ -8,6 +8,7 @@ import statistics
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from panelweave.functions import clean
@@ -115,6 +116,8 @@ def test_adapters(spark, tmp_path):
     assert got["cla:7"]["amount"] == 1_500_000.0 and got["aiddata:7"]["period"] == 2012
     assert (got["cofi:1:debt"]["amount"], got["cofi:1:equity"]["amount"], got["cofi:2:total"]["amount"], got["cofi:2:total"]["period"]) == (5.0, 2.0, 9.0, 2015)
     assert got["cgp:7"]["refs"] == ["cla:7", "cgef:7"] and got["chapo:7"]["refs"] == ["aiddata:7"] and got["cgp:7"]["amount"] is None
+    ranged = {r["record_key"]: r for r in adapters.all_records(spark, str(tmp_path), ranges=True).drop("ordinal").collect()}
+    assert ranged == {k: Row(**{c: v for c, v in r.asDict().items() if c != "ordinal"}) for k, r in got.items()}
     assert files.field_count(spark, [str(tmp_path / "fdi_africa_metadata.csv")]) == 4
 
 
