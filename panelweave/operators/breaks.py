@@ -1,13 +1,17 @@
-"""Level shifts in the longest consecutive run of each series, relationally.
+"""Level shifts in the longest consecutive run of each series.
 
-Prefix sums make the squared error of any segment a difference of two entries.
-The best split of a prefix into k segments extends the best split of a shorter
-prefix into k - 1, so that n values cost n * n steps a break; a BIC picks the
-number of segments.
+Runs, scales and the choice by BIC are relational. The best split of a series
+into k segments extends the best split of a prefix into k - 1, one step after
+the other; a vectorised helper takes those steps for a series, and drops last
+breaks that no mean of the last segment can make best any more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +28,62 @@ def longest_run(points: DataFrame, key: str = "series", period: str = "period",
     return runs.join(best, [key, "run"]).select(key, period, value, "n", F.row_number().over(Window.partitionBy(key).orderBy(period)).alias("idx"))
 
 
+def best_splits(t: np.ndarray, segment: int, breaks: int, stride: int = 64) -> Iterator[tuple[int, list[int], float]]:
+    """(segments, breaks, squared error) of the best split of t into 1, 2, ... segments of at least so many values.
+
+    Prefix sums make the squared error of any segment a difference of two
+    entries. As functions of the mean of the last segment, the costs of two last
+    breaks i < m differ by the same parabola whatever the end: m is better but
+    for means within a radius of the mean of what lies between. A last break is
+    dropped where its intervals have nothing in common, or lie within the widest
+    one in which an earlier break is no worse: none is lost that is best, and
+    equals go to the earliest. Few are left but within long runs of one value,
+    which keep theirs. Memory is stride times the last breaks kept. More
+    segments than make an error of 1e-12, the least that counts, are not tried.
+    """
+    n = len(t)
+    s, q = np.append(0.0, np.cumsum(t)), np.append(0.0, np.cumsum(t * t))
+    slack = 1e-9 * max(1.0, q[-1])
+
+    def sse(i, j):
+        total = s[j] - s[i]
+        return np.maximum(0.0, q[j] - q[i] - total * total / np.maximum(j - i, 1))
+
+    cost, lasts = np.full(n + 1, np.inf), []
+    cost[segment:] = sse(0, np.arange(segment, n + 1))
+    if n >= segment:
+        yield 1, [], float(cost[n])
+    for k in range(2, min(breaks + 1, n // segment) + 1):
+        if cost[n] <= 1e-12:
+            return
+        longer, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        alive, (low, high, left, right) = np.zeros(0, int), np.zeros((4, 0))
+        for at in range(k * segment, n + 1, stride):
+            ends = np.arange(at, min(at + stride, n + 1))
+            new = ends - segment
+            alive, low, high = np.append(alive, new), np.append(low, np.full(len(new), -np.inf)), np.append(high, np.full(len(new), np.inf))
+            i = alive[:, None]
+            costs = np.where(i <= new, cost[i] + sse(i, ends), np.inf)
+            best = np.round(costs, 12).argmin(axis=0)
+            longer[ends], last[ends] = costs[best, np.arange(len(ends))], alive[best]
+            between = np.maximum(new - i, 1)
+            gain, middle = cost[new] - cost[i] - sse(i, new), (s[new] - s[i]) / between
+            radius = np.sqrt(np.maximum(gain + slack, 0.0) / between)
+            low = np.maximum(low, np.where(new > i, np.where(gain < -slack, np.inf, middle - radius), -np.inf).max(axis=1))
+            high = np.minimum(high, np.where(new > i, middle + radius, np.inf).min(axis=1))
+            inner = np.where((new > i) & (gain > 0), np.sqrt(np.maximum(gain, 0.0) / between), -1.0)
+            widest = inner.argmax(axis=0), np.arange(len(new))
+            left, right = np.append(left, middle[widest] - inner[widest]), np.append(right, middle[widest] + inner[widest])
+            kept = (low <= high) & ~((low >= left) & (high <= right))
+            alive, low, high, left, right = alive[kept], low[kept], high[kept], left[kept], right[kept]
+        cost = longer
+        lasts.append(last)
+        cuts = [n]
+        for of in reversed(lasts):
+            cuts.append(int(of[cuts[-1]]))
+        yield k, cuts[:0:-1], float(cost[n])
+
+
 def mean_breaks(points: DataFrame, key: str = "series", period: str = "period", value: str = "value", least_run: int = 8, segment: int = 4, breaks: int = 3) -> DataFrame:
     """Per series with a long enough run: the number of segments, break positions and BICs.
 
@@ -34,35 +94,16 @@ def mean_breaks(points: DataFrame, key: str = "series", period: str = "period",
     """
     run = longest_run(points, key, period, value).filter(F.col("n") >= least_run)
     scale = run.groupBy(key).agg(F.coalesce(F.median(F.when(F.col(value) != 0, F.abs(value))), F.lit(1.0)).alias("scale"))
-    order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     t = run.join(scale, key).withColumn("t", F.asinh(F.col(value) / F.col("scale")))
-    sums = t.select(key, "idx", F.sum("t").over(order).alias("s"), F.sum(F.col("t") * F.col("t")).over(order).alias("q"), "n")
-    # the prefix sums of one series are one array; entry j sums its first j values
-    start = F.array(F.struct(F.lit(0).alias("idx"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
-    packed = sums.groupBy(key).agg(F.max("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "s", "q"))).alias("p")).withColumn("p", F.concat(start, "p"))
-    p, n = F.col("p"), F.col("n")
-
-    def sse(i: Column, j: Column) -> Column:
-        total = F.get(p, j)["s"] - F.get(p, i)["s"]
-        return F.greatest(F.lit(0.0), F.get(p, j)["q"] - F.get(p, i)["q"] - total * total / (j - i))
-
-    def split(cost: Column, cuts: Column) -> Column:
-        # equal costs, but for rounding, go to the earliest last break
-        return F.struct(F.round(cost, 12).alias("rounded"), cuts.alias("cuts"), cost.alias("cost"))
-
-    def longer(before: str, segments: int) -> Column:
-        """Best split of each prefix into so many segments, its breaks from the last to the first."""
-        ends = F.sequence(F.lit(0), n)
-        of = lambda j: F.array_min(F.transform(F.sequence(F.lit((segments - 1) * segment), j - segment), lambda i: split(F.get(F.col(before), i)["cost"] + sse(i, j), F.concat(F.array(i), F.get(F.col(before), i)["cuts"]))))
-        return F.transform(ends, lambda j: F.when(j >= segments * segment, of(j)))
-
-    no_cuts = F.array().cast("array<int>")
-    grown = packed.withColumn("best1", F.transform(F.sequence(F.lit(0), n), lambda j: F.when(j >= segment, split(sse(F.lit(0), j), no_cuts))))
-    for k in range(2, breaks + 2):
-        grown = grown.withColumn(f"best{k}", longer(f"best{k - 1}", k))
-    ends = F.array(*(F.struct(F.lit(k).alias("segments"), F.get(f"best{k}", n).alias("m")) for k in range(1, breaks + 2)))
-    union = grown.select(key, "n", F.explode(ends).alias("e")).filter("e.m is not null")
-    union = union.select(key, F.col("n").cast("long").alias("n"), "e.segments", F.reverse("e.m.cuts").cast("array<bigint>").alias("b"), F.col("e.m.cost").alias("sse"))
+
+    @F.pandas_udf("array<struct<segments: int, b: array<bigint>, sse: double>>")
+    def splits(values: pd.Series) -> pd.Series:
+        return pd.Series([[{"segments": k, "b": b, "sse": e} for k, b, e in best_splits(np.asarray(v), segment, breaks)] for v in values], dtype=object)
+
+    # the values of one series, in order, are one array
+    packed = t.groupBy(key).agg(F.max("n").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("p"))
+    n = F.col("n")
+    union = packed.select(key, "n", F.explode(splits("p.t")).alias("e")).select(key, "n", "e.*")
     bic = n * F.log(F.greatest("sse", F.lit(1e-12)) / n) + (2 * F.col("segments") - 1) * F.log(n.cast("double"))
     scored = union.withColumn("bic", bic)
     plain = scored.filter("segments = 1").select(key, F.col("bic").alias("no_break_bic"))
