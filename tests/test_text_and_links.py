@@ -1,5 +1,8 @@
 """Cleaning, title similarity, matching and review on hand-made rows."""
 
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from panelweave.functions import clean as C
@@ -55,6 +58,23 @@ def test_similarity(spark):
     assert scores(spark, "Rural Road", "Solar Plant") == []
 
 
+def test_ratio_is_matched_where_it_can_reach_the_least(spark):
+    """No ratio at or above the least is lost; those given are the matcher's own."""
+    rng = random.Random(5)
+    texts = ["", "a", "abcd", "x" * 300, *("".join(rng.choice("abc de") for _ in range(rng.randrange(1, 70))) for _ in range(60)), "y" * 250 + "abcab"]
+    rows = [(a, b, floor) for a in texts for b in texts for floor in (0.0, 0.6, 0.75)] + [(None, "a", 0.0), ("a", None, 0.0)]
+    df = spark.createDataFrame(rows, "a string, b string, least double")
+    skipped = 0
+    for r in df.select("a", "b", "least", matching.sequence_ratio("a", "b", "least").alias("r")).collect():
+        if r["a"] is None or r["b"] is None:
+            assert r["r"] is None
+            continue
+        true = SequenceMatcher(None, r["a"], r["b"]).ratio()
+        skipped += r["r"] is None
+        assert true < r["least"] if r["r"] is None else r["r"] == true
+    assert skipped > len(rows) // 4
+
+
 def test_direct_pairs_are_not_bridged(spark):
     title = "Hydropower Station Expansion"
     rows = [record("a:1", title, 1, ["b:1"]), record("b:1", title, 2), record("a:2", title, 3, ["b:2"]), record("b:2", title, 4), record("c:1", "Lonely Bridge", 5), record("d:1", None, 6, entity=None, period=None)]
