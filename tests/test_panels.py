@@ -2,11 +2,13 @@
 
 import csv
 import itertools
+import json
 import math
 import random
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -133,6 +135,55 @@ def test_sinks(spark, tmp_path):
     assert [r["iso3"] for r in files.read_features(spark, str(tmp_path / "g.json")).collect()] == ["SOL"]
 
 
+def test_document_of_many_rows(spark, tmp_path):
+    """Rows in order whatever their tasks, repeated and null ones too, and one file."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["é", 'q"', "a\nb", "z", None]), rng.randrange(300), [rng.randrange(3)]) for _ in range(3000)]
+    many = spark.createDataFrame(rows, "k string, n int, l array<int>").repartition(7)
+    files.write_document({"none": many.filter("n < 0"), "many": many, "total": many.agg(F.sum("n").alias("n")), "absent": many.filter("n < 0")}, str(tmp_path / "doc"), one_row=("total", "absent"))
+    (file,) = (tmp_path / "doc").glob("part-*")
+    got = json.loads(file.read_text(encoding="utf-8"))
+    want = [{"k": k, "n": n, "l": v} for k, n, v in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1:]))]
+    assert got == {"none": [], "many": want, "total": {"n": sum(n for _, n, _ in rows)}, "absent": None} and list(got) == ["none", "many", "total", "absent"]
+
+
+def plain_splits(t, least=4, most=3):
+    """The recurrence over all last breaks: squared errors by prefix sums, equals to the earliest."""
+    s, q = [0.0], [0.0]
+    for v in t:
+        s.append(s[-1] + v)
+        q.append(q[-1] + v * v)
+    sse = lambda i, j: max(0.0, q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i))
+    best = {j: (0, [], sse(0, j)) for j in range(least, len(t) + 1)}
+    for k in range(1, most + 2):
+        if len(t) in best:
+            yield k, best[len(t)][1][::-1], pytest.approx(best[len(t)][2], abs=1e-9)
+        best = {j: min((round(best[i][2] + sse(i, j), 12), [i, *best[i][1]], best[i][2] + sse(i, j)) for i in range(k * least, j - least + 1)) for j in range((k + 1) * least, len(t) + 1)}
+
+
+def test_no_break_is_lost():
+    rng = random.Random(12)
+    for trial in range(60):
+        n = rng.randrange(4, 120)
+        t = [rng.gauss(0, 1) for _ in range(n)]
+        if trial % 3 == 1:
+            t = [float(round(v) + 3 * (k > n // 2)) for k, v in enumerate(t)]
+        elif trial % 3 == 2:
+            t = [t[k - k % 20] for k in range(n)]
+        want = list(plain_splits(t))
+        for stride in (1, 7, 64):
+            got = list(breaks.best_splits(np.array(t), 4, 3, stride))
+            assert got == want[: len(got)] and (len(got) == len(want) or got[-1][2] <= 1e-12), (trial, stride)
+
+
+def test_breaks_of_a_very_long_series(spark):
+    """50,000 values, of which few last breaks stay in question."""
+    rng = random.Random(2)
+    rows = [("s", k, (20.0 if k < 12000 else 90.0 if k < 31000 else 40.0) + rng.gauss(0, 3)) for k in range(50000)]
+    got = breaks.mean_breaks(spark.createDataFrame(rows, "series string, period int, value double")).first()
+    assert {12000, 31000} <= set(got["break_indices"])
+
+
 def test_rounding_is_that_of_the_binary_value(spark):
     rng = random.Random(8)
     values = [2.675, 0.125, 0.375, 2.5, 0.5, 1.5, 1.005, -2.675, 0.0, 1e15 + 0.3, 4503599627370497.5, 1e300, 123456.7890125, 8.5, -0.5]
