@@ -75,6 +75,40 @@ def test_ratio_is_matched_where_it_can_reach_the_least(spark):
     assert skipped > len(rows) // 4
 
 
+def test_ratios_of_a_batch_are_the_matchers_own():
+    rng = random.Random(3)
+    left, right = (["".join(rng.choice("abc de水é"[: 2 + k % 7]) for _ in range(rng.randrange(0, 199))) for k in range(300)] for _ in range(2))
+    left += right[:40]
+    right += right[40:80]
+    want = [sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in zip(left, right)]
+    assert list(matching.matched_characters(left, right)) == want
+
+
+def test_copies_make_no_pairs(spark):
+    """Thirty copies of three titles: a candidate row a pair of classes and order, and counts of records as all pairs of records give them."""
+    titles = {"a": "Rural Road Upgrade in Turkana", "b": "Upgrade of Rural Roads Turkana", "c": "Rural Road Upgrade Turkana Lot 2"}
+    rng = random.Random(7)
+    order = [(s, k) for s in titles for k in range(30)]
+    rng.shuffle(order)
+    rows = [record(f"{s}:{k}", titles[s], n, ["b:3"] if (s, k) == ("a", 2) else ()) for n, (s, k) in enumerate(order)]
+    df = spark.createDataFrame(rows, RECORD)
+    direct = matching.direct_pairs(df)
+    rows_ = matching.class_candidates(df, direct).collect()
+    assert sum(r["status"] not in ("member", "direct_reference") for r in rows_) <= 6 and sum(r["status"] == "member" for r in rows_) == 90
+    assert matching.class_overlaps(df).filter("kind = 'pair'").count() == 3
+    got, cand = matching.apply_matching(df)
+    pairs = [r for r in cand.collect() if r["status"] != "direct_reference"]
+    tally = {}
+    for r in pairs:
+        for k in (r["left_key"], r["right_key"]):
+            n, top = tally.get(k, (0, 0.0))
+            tally[k] = (n + 1, max(top, r["similarity"]))
+    assert len(pairs) >= 900
+    for r in got.collect():
+        n, top = tally.get(r["record_key"], (0, 0.0))
+        assert r["candidate_count"] == n and (r["match_status"] == "direct_reference" or r["match_confidence"] == top)
+
+
 def test_direct_pairs_are_not_bridged(spark):
     title = "Hydropower Station Expansion"
     rows = [record("a:1", title, 1, ["b:1"]), record("b:1", title, 2), record("a:2", title, 3, ["b:2"]), record("b:2", title, 4), record("c:1", "Lonely Bridge", 5), record("d:1", None, 6, entity=None, period=None)]
