@@ -8,7 +8,7 @@ from panelweave.functions import clean as C
 from panelweave.functions import evidence as E
 from panelweave.operators import batch_review, breaks, dashboards, matching, panel, publish, review, stats
 from panelweave.plans.queries import (
-    _BREAKS, _QUARTERLY, _RUN, CORR, FIRST, LAST, LONG, MONEY, REC, SOURCES, correlation_robustness, long, members, metrics, nations, quarterly, query, rank_correlations, records, table, _INDEX, _MEMBERS,
+    _BREAKS, _QUARTERLY, _RUN, CORR, FIRST, LAST, LONG, MONEY, REC, SOURCES, correlation_robustness, long, members, metrics, nations, quarterly, query, rank_correlations, records, spread, table, _INDEX, _MEMBERS,
 )
 
 # --- panels with records that are not eligible, and a physical measure -----
@@ -261,7 +261,7 @@ def title_facts(spark, d):
     record = F.when(k % 4 == 0, F.concat(F.lit("see ID #"), k)).when(k % 4 == 1, F.concat(F.lit("linked to record 7, "), k)).when(k % 4 == 2, F.concat(F.lit("id 9"), k)).otherwise(F.concat(F.lit("number "), k))
     left = F.when(k % 3 == 1, "Doses of May, 2 million doses").otherwise("Phase II of June")
     right = F.when(k % 3 == 1, "Doses of May, 3 million doses").when(k % 3 == 2, "Phase III of June").otherwise("second phase of June")
-    return table(spark, d, "part").select("p_partkey", E.states_usd(money, F.col("p_size") * 1e6 * (1 + (k % 5) / 50)).alias("stated"), E.names_record(record, k.cast("string")).alias("named"), E.events_clash(left, right).alias("clash"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", E.states_usd(money, F.col("p_size") * 1e6 * (1 + (k % 5) / 50)).alias("stated"), E.names_record(record, k.cast("string")).alias("named"), E.events_clash(left, right).alias("clash"))
 
 
 # --- published order -------------------------------------------------------

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from panelweave.functions import clean as C
+from panelweave.functions import evidence as E
 from panelweave.operators import matching, review
 from panelweave.operators.graph import connected_components
 
@@ -154,3 +155,11 @@ def test_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "u string, v string")).collect())
     assert got == {f"n{k:03}": "n000" for k in range(41)} | {"z": "z", "s0": "s0", "s1": "s0", "s2": "s0"}
     assert connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_components_of_titles_are_taken_once(spark):
+    df = spark.createDataFrame([("Phase II, lot 3", "lot 4, phase 2"), ("phase 1", "second phase"), ("lot 1", "phase 2"), ("", "lot 2")], "a string, b string")
+    clash = df.select(E.component_clash(E.components(F.col("a")), E.components(F.col("b"))).alias("x"), E.events_clash(F.col("a"), F.col("b")).alias("y"))
+    assert [tuple(r) for r in clash.collect()] == [(True, True), (True, True), (False, False), (False, False)]
+    alone = df.select(E.component_clash(E.components(F.col("a")), E.components(F.col("b"))).alias("x"))
+    assert alone._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 8
