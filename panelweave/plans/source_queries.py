@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelweave.functions import clean as C
 from panelweave.operators import publish
 from panelweave.plans import build
-from panelweave.plans.queries import _CELLS, _case, members, query, records, table
+from panelweave.plans.queries import _CELLS, _case, members, query, records, spread, table
 from panelweave.plans.storage import place
 from panelweave.sources import adapters, files, legacy
 
@@ -57,7 +57,7 @@ COUNTRIES = [("KEN", "Kenya", "肯尼亚", "1"), ("CIV", "Côte d'Ivoire", "科
 def raw_folder(spark, d, names=tuple(RAW)) -> str:
     """Folder with the raw files of the part table, in the shared folder."""
     base = place(spark, "raw")
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey").sortWithinPartitions("p_partkey")  # a part file a task, in order of keys
     for name in names:
         cells = RAW[name]
         files.write_csv(part.select(*(F.expr(e).alias(c) for c, e in cells.items())), f"{base}/{name}", list(cells))

@@ -257,3 +257,21 @@ def test_all_sources_and_pairs(spark, sf_dir, duck):
     real = {x for (x,) in duck.execute("select distinct o_orderpriority from orders").fetchall()}
     assert {r["source"] for r in QUERIES["source_quality"](spark, sf_dir).collect()} == real | {"6-NONE"}
     assert len(QUERIES["panel_fund_columns"](spark, sf_dir).columns) == 1 + len(real) * duck.execute("select count(distinct c_mktsegment) from customer").fetchone()[0]
+
+
+def test_raw_files_are_written_by_many_tasks(spark, sf_dir):
+    """Part files in order of keys, so that as many tasks read them back."""
+    import glob
+
+    from panelweave.plans import source_queries
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = source_queries.raw_folder(spark, sf_dir, ("cancellation_africa_clean.csv",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(glob.glob(f"{folder.removeprefix('file:')}/cancellation_africa_clean.csv/part-*.csv"))
+    keys = [[int(r["Record_ID"]) for r in spark.read.csv(p, header=True).select("Record_ID").collect()] for p in parts]
+    assert len([k for k in keys if k]) > 1
+    flat = [x for k in keys for x in k]
+    assert flat == sorted(flat)
