@@ -275,3 +275,9 @@ def test_raw_files_are_written_by_many_tasks(spark, sf_dir):
     assert len([k for k in keys if k]) > 1
     flat = [x for k in keys for x in k]
     assert flat == sorted(flat)
+
+
+def test_wide_panel_reads_records_once(spark, sf_dir):
+    """What it counts and adds comes from the written records, not from the raw files again."""
+    read = QUERIES["built_wide_panel"](spark, sf_dir).inputFiles()
+    assert any("/records-" in f for f in read) and not any("aiddata_africa_clean" in f for f in read)
