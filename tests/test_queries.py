@@ -124,13 +124,31 @@ def test_matched_records_by_hand(spark, sf_dir, duck):
     assert got == want and {"direct_reference", "unmatched"} <= {s for _, s, _, _ in want.values()}
 
 
+def queued(rows):
+    """{(left, right): row} of records that pairs of classes of copies stand for, with the similarity of their order."""
+    inside, pairs = {}, [r for r in rows if r["kind"] == "pair"]
+    for r in rows:
+        if r["kind"] == "member":
+            inside.setdefault(r["right_key"], []).append(r)
+    out = {}
+    for r in pairs:
+        mine = {(a["left_key"], b["left_key"]): (a["ordinal"], b["ordinal"]) for a in inside[r["left_key"]] for b in inside[r["right_key"]] if a["project_match_id"] != b["project_match_id"]}
+        mine = {p: r.asDict() | {"similarity": r["left_first"] if i < j else r["right_first"]} for p, (i, j) in mine.items() if i != j}
+        mine = {p: m for p, m in mine.items() if m["similarity"] is not None}
+        assert mine and not mine.keys() & out.keys()
+        out |= mine
+    return out
+
+
 def test_recommendations_follow_the_rules(spark, sf_dir, duck):
     parts = {p["key"]: p for p in part_rows(duck)}
     rows = QUERIES["review_recommendations"](spark, sf_dir).collect()
-    pairs = candidate_pairs(list(parts.values()))
-    assert {(r["left_key"], r["right_key"]) for r in rows} <= {p for p, (_, s) in pairs.items() if s != "direct_reference"}
-    for r in rows:
-        a, b = parts[r["left_key"]], parts[r["right_key"]]
+    group = {r["left_key"]: r["project_match_id"] for r in rows if r["kind"] == "member"}
+    got = queued(rows)
+    pairs = {p: x for p, (x, s) in candidate_pairs(list(parts.values())).items() if s != "direct_reference" and group[p[0]] != group[p[1]]}
+    assert {p: r["similarity"] for p, r in got.items()} == {p: pytest.approx(x, abs=1e-4) for p, x in pairs.items()} and pairs
+    for (left, right), r in got.items():
+        a, b = parts[left], parts[right]
         ratio = round(a["price"] / b["price"], 6)
         fits, agrees = a["fund"] == b["fund"] and a["sector"] == b["sector"], 0.98 <= ratio <= 1.02
         if a["lots"] and b["lots"] and a["lots"] != b["lots"]:
@@ -144,6 +162,37 @@ def test_recommendations_follow_the_rules(spark, sf_dir, duck):
         assert r["rule_id"] == want and r["amount_ratio"] == pytest.approx(ratio, abs=2e-6)
 
 
+def copied_records(spark, copies):
+    """Forty records of one block, repeated in load order; some share an id with another source, lack an amount, or name a record of another source."""
+    rng, rows = random.Random(8), []
+    base = [(rng.choice("123"), f"{rng.choice(['red', 'blue'])} {rng.choice(['dam', 'road', 'rail link'])} & Lot {rng.randrange(1, 3)} works", rng.choice([None, 100.0, 101.0, 300.0]), rng.choice(["loan", "grant"])) for _ in range(40)]
+    for c in range(copies):
+        for k, (source, title, amount, fund) in enumerate(base):
+            n = c * 40 + k
+            refs = [f"{base[k + 1][0]}:{n + 1}"] if k % 10 == 0 else [f"{base[k - 1][0]}:{(c + 1) % copies * 40 + k - 1}"] if k % 10 == 3 else []
+            rows.append((f"{source}:{n}", source, "same" if k in (5, 6, 7, 8) else str(n), title, "E", 1, n, amount, "usd", "c", fund, "other", refs))
+    return spark.createDataFrame(rows, "record_key string, source string, record_id string, title string, entity string, period int, ordinal long, amount double, price_basis string, amount_measure string, fund string, sector string, refs array<string>")
+
+
+def test_recommendations_of_copies(spark):
+    """Pairs of classes stand for just the pairs of records that a queue of records holds, and do not grow with copies."""
+    from panelweave.operators import matching, review
+
+    sizes = []
+    for copies in (2, 4):
+        recs = copied_records(spark, copies)
+        want = {(r["left_key"], r["right_key"]): r.asDict() for r in review.recommend(review.review_queue(*matching.apply_matching(recs)[::-1])).collect()}
+        matched, links, members, _ = matching.match_by_classes(recs)
+        copied = review.copies(members, matched, review.shared_ids(matched))
+        rows = review.with_members(review.recommend(review.class_queue(links, copied, matched)), copied).collect()
+        got = queued(rows)
+        told = ("similarity", "review_hint", "amount_ratio", "rule_id", "review_decision", "confidence", "auto_apply", "left_fund", "right_amount")
+        assert {p: [r[c] for c in told] for p, r in got.items()} == {p: [r[c] for c in told] for p, r in want.items()}
+        assert len({r["rule_id"] for r in want.values()}) == 3 and len(got) > 2 * len([r for r in rows if r["kind"] == "pair"])
+        sizes.append((len(got), len([r for r in rows if r["kind"] == "pair"])))
+    assert sizes[1][0] > 3 * sizes[0][0] and sizes[1][1] <= sizes[0][1]
+
+
 def test_batch_review_decides_every_pair_once(spark, sf_dir):
     rows = QUERIES["batch_reviewed"](spark, sf_dir).collect()
     ids = [r["candidate_id"] for r in rows]
