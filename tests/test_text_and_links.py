@@ -163,3 +163,32 @@ def test_components_of_titles_are_taken_once(spark):
     assert [tuple(r) for r in clash.collect()] == [(True, True), (True, True), (False, False), (False, False)]
     alone = df.select(E.component_clash(E.components(F.col("a")), E.components(F.col("b"))).alias("x"))
     assert alone._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 8
+
+
+def test_rounds_read_little_more_than_the_first(spark, monkeypatch):
+    """A chain in order of its nodes, and hubs: the edges of all rounds after the first together are fewer than those of the input."""
+    from panelweave.operators import graph
+
+    seen, write = [], graph.durable_with
+
+    def noted(*args):
+        out = write(*args)
+        seen.append(out[1]["edges"])
+        return out
+
+    monkeypatch.setattr(graph, "durable_with", noted)
+    edges = [(f"k{k:05}", f"k{k + 1:05}") for k in range(1500)] + [(f"p{k:03}", f"s{k % 7}") for k in range(500)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert got == {f"k{k:05}": "k00000" for k in range(1501)} | {n: f"p{int(n[1:]) % 7:03}" for e in edges[1500:] for n in e}
+    assert sum(seen) < 1.5 * len(edges)
+
+
+def test_ids_that_meet_are_hashed_anew(spark, monkeypatch):
+    """Nodes whose hashes are equal stay apart."""
+    from panelweave.operators import graph
+
+    hashed = graph._hash
+    monkeypatch.setattr(graph, "_hash", lambda node, seed: hashed(node, seed) % 3 if seed < 2 else hashed(node, seed))
+    edges = [(f"a{k}", f"b{k}") for k in range(20)] + [("a1", "a1"), ("c", "c"), (None, "d"), ("a2", "b2")]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert got == {f"{x}{k}": f"a{k}" for k in range(20) for x in "ab"} | {"c": "c"}
